@@ -1,0 +1,6 @@
+"""Nothing here yet, on purpose.
+
+Cleaning, chunking and embedding are stateless row transforms, so they take a
+streaming DataFrame as they are (see ``tests/test_streaming.py``). No stateful
+streaming operator is part of this engine.
+"""
