@@ -8,6 +8,7 @@ texts, getting back a float matrix with one row per text.
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +28,25 @@ def hashed_embedder(dim: int = 384) -> Embedder:
     fifth). Meaning across languages needs a real encoder in its place.
     """
 
+    class Codes(dict):
+        """Word to slot + 1, negative where the word counts downwards."""
+
+        def __missing__(self, word: str) -> int:
+            if len(self) >= _CACHE_LIMIT:
+                self.clear()
+            digest = hashlib.md5(word.encode()).digest()
+            slot = int.from_bytes(digest[:4], "big") % dim + 1
+            self[word] = code = slot if digest[4] < 128 else -slot
+            return code
+
     def load() -> Callable[[list[str]], np.ndarray]:
-        cache: dict[str, int] = {}
-
-        def code(word: str) -> int:
-            found = cache.get(word)
-            if found is None:
-                if len(cache) >= _CACHE_LIMIT:
-                    cache.clear()
-                digest = hashlib.md5(word.encode()).digest()
-                slot = int.from_bytes(digest[:4], "big") % dim
-                found = cache[word] = slot + 1 if digest[4] < 128 else -(slot + 1)
-            return found
+        codes_of, junk = Codes(), re.compile(r"[^\w\s]")
 
         def encode(texts: list[str]) -> np.ndarray:
-            bags = [re.sub(r"[^\w\s]", "", t.lower()).split() for t in texts]
+            bags = [junk.sub("", t.lower()).split() for t in texts]
             sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-            codes = np.fromiter((code(w) for bag in bags for w in bag), np.int64, int(sizes.sum()))
+            words = chain.from_iterable(bags)
+            codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, int(sizes.sum()))
             cell = np.repeat(np.arange(len(bags)), sizes) * dim + np.abs(codes) - 1
             counts = np.bincount(cell, np.sign(codes), minlength=len(bags) * dim)
             matrix = counts.reshape(len(bags), dim)

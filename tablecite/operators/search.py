@@ -25,6 +25,7 @@ from tablecite.operators.topk import DenseL2, SparseCosine, TopK
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
+MAX_DIM = 4096
 BROADCAST_HITS = 500_000
 
 
@@ -54,15 +55,29 @@ def _measure(df: DataFrame, keys: list[str], payload: Column) -> SideSize:
     return SideSize(int(row["rows"]), int(row["bytes"]))
 
 
-def vector_bytes(vec: str = "embedding") -> Column:
-    return F.size(vec) * 4
+@dataclass(frozen=True)
+class Weight:
+    """Bytes of one vector: exactly, and as a bound that needs no vector at all."""
+
+    exact: Column
+    bound: Column | None = None
+
 
+DENSE = Weight(F.size("_v") * 4, F.lit(MAX_DIM * 4))
 
-def question_size(
-    questions: DataFrame, qid: str | Sequence[str] = "qid", vec: str = "embedding"
-) -> SideSize:
-    """Rows and bytes of the question side; the one job run before planning."""
-    return _measure(questions, _names(qid), vector_bytes(vec))
+
+def _fits(df: DataFrame, keys: list[str], weight: Weight, budget: int) -> tuple[bool, SideSize]:
+    """Is this side within the budget?
+
+    The bound is tried first. It reads no vector, so Catalyst drops the
+    embedder from that count; real lengths are looked at only past it.
+    """
+    if weight.bound is not None:
+        size = _measure(df, keys, weight.bound)
+        if size.bytes <= budget:
+            return True, size
+    size = _measure(df, keys, weight.exact)
+    return size.bytes <= budget, size
 
 
 def _topk(
@@ -74,12 +89,12 @@ def _topk(
     vec: str,
     k: int,
     metric,
-    payload: tuple[Column, Column],
+    weight: Weight,
     strategy: str,
-    size: SideSize | None,
     broadcast_bytes: int,
     block_bytes: int,
-) -> DataFrame:
+) -> tuple[DataFrame, SideSize]:
+    """Hits with ``_cost`` and ``rank``, and the measured question side."""
     clash = set(qkeys) & set(keys)
     if clash:
         raise ValueError(f"question and corpus keys share names: {sorted(clash)}")
@@ -92,23 +107,26 @@ def _topk(
         + [corpus.schema[c] for c in keys]
         + [T.StructField("_cost", T.DoubleType())]
     )
+    partial = None
     if strategy != "grid":
-        size = size or _measure(qs, qkeys, payload[0])
-        if size.bytes > broadcast_bytes:
-            if strategy == "broadcast":
-                raise ValueError(f"questions take {size.bytes} bytes, budget {broadcast_bytes}")
-            strategy = "grid"
-    if strategy == "grid":
-        size = size or _measure(qs, qkeys, payload[0])
-        partial = _grid(qs, cs, qkeys, keys, k, metric, payload, size, block_bytes, schema)
-    else:
-        partial = _broadcast(qs, cs, qkeys, keys, k, metric, schema)
+        fits, size = _fits(qs, qkeys, weight, broadcast_bytes)
+        if fits:
+            partial = _broadcast(qs, cs, qkeys, keys, k, metric, schema, broadcast_bytes)
+        if partial is None and strategy == "broadcast":
+            raise ValueError(f"{size.rows} questions exceed the budget of {broadcast_bytes} bytes")
+    if partial is None:
+        size = _measure(qs, qkeys, weight.exact)
+        partial = _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema)
     by_cost = Window.partitionBy(*qkeys).orderBy("_cost", *keys)
-    return partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
+    hits = partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
+    return hits, size
 
 
-def _broadcast(qs, cs, qkeys, keys, k, metric, schema) -> DataFrame:
-    shared = cs.sparkSession.sparkContext.broadcast(qs.toArrow().combine_chunks())
+def _broadcast(qs, cs, qkeys, keys, k, metric, schema, budget) -> DataFrame | None:
+    questions = qs.toArrow().combine_chunks()
+    if questions.nbytes > 2 * budget:  # vectors longer than the bound assumed
+        return None
+    shared = cs.sparkSession.sparkContext.broadcast(questions)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -120,14 +138,14 @@ def _broadcast(qs, cs, qkeys, keys, k, metric, schema) -> DataFrame:
     return cs.mapInArrow(scan, schema)
 
 
-def _grid(qs, cs, qkeys, keys, k, metric, payload, size, block_bytes, schema) -> DataFrame:
+def _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema) -> DataFrame:
     """Cut both sides into hashed blocks and pair every two blocks once.
 
     Block numbers hash the row key, so copies of one vector spread evenly and a
     re-run task rebuilds the same blocks. Each side is sent once per block of
     the other side.
     """
-    corpus = _measure(cs, keys, payload[1])
+    corpus = _measure(cs, keys, weight.exact)
     nq = max(1, -(-size.bytes // block_bytes))
     nc = max(1, -(-corpus.bytes // block_bytes))
 
@@ -168,7 +186,6 @@ def knn(
     qvec: str = "embedding",
     vec: str = "embedding",
     strategy: str = "auto",
-    size: SideSize | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -177,13 +194,41 @@ def knn(
     Returns the question keys, the corpus keys, ``score`` and ``rank`` (from 1).
     Equal scores go to the smaller key; a corpus below ``k`` rows gives fewer.
     """
-    hits = _topk(
-        questions, corpus, _names(qid), _names(key), qvec, vec, k, DenseL2,
-        (vector_bytes("_v"), vector_bytes("_v")), strategy, size, broadcast_bytes, block_bytes,
+    hits, _ = _topk(
+        questions, corpus, _names(qid), _names(key), qvec, vec, k, DenseL2, DENSE,
+        strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumnRenamed("_cost", "score")
 
 
+def retrieve(
+    questions: DataFrame,
+    gold: DataFrame,
+    chunks: DataFrame | None = None,
+    k: int = 5,
+    qid: str | Sequence[str] = "qid",
+    key: str | Sequence[str] = ("act", "page", "chunk_ix"),
+    margin: float | None = None,
+    strategy: str = "auto",
+) -> DataFrame:
+    """Ranked hits with their text for embedded ``questions``.
+
+    The vector scan reads keys and vectors only; ``chunks`` (default: ``gold``)
+    is scanned for text once, joined to at most questions x k keys. A
+    ``margin`` drops far hits before they fetch text.
+    """
+    gold = gold.dropna(subset=_names(key))  # as the join below would, but before ranking
+    hits, size = _topk(
+        questions, gold, _names(qid), _names(key), "embedding", "embedding", k, DenseL2, DENSE,
+        strategy, BROADCAST_BYTES, BLOCK_BYTES,
+    )
+    hits = hits.withColumnRenamed("_cost", "score")
+    if margin is not None:
+        hits = within_margin(hits, margin, qid)
+    text = gold.drop("embedding") if chunks is None else chunks
+    return attach(hits, text, key, max_hits=size.rows * k)
+
+
 def cosine_topk(
     questions: DataFrame,
     corpus: DataFrame,
@@ -194,7 +239,6 @@ def cosine_topk(
     qvec: str = "features",
     vec: str = "features",
     strategy: str = "auto",
-    size: SideSize | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -207,10 +251,9 @@ def cosine_topk(
     def metric(column):
         return SparseCosine(column, n_features)
 
-    nnz = F.size("_v.indices") * 12 + 16
-    hits = _topk(
+    hits, _ = _topk(
         questions, corpus, _names(qid), _names(key), qvec, vec, k, metric,
-        (nnz, nnz), strategy, size, broadcast_bytes, block_bytes,
+        Weight(F.size("_v.indices") * 12 + 16), strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumn("_cost", -F.col("_cost")).withColumnRenamed("_cost", "score")
 

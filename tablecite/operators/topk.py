@@ -40,13 +40,18 @@ def first_k(q: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> np.ndarray:
     return pos[rank < k]
 
 
+def _above(bound: np.ndarray) -> np.ndarray:
+    """The bound as float32, rounded upwards."""
+    return np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+
+
 class DenseL2:
     """Squared Euclidean distance between float vectors."""
 
     def __init__(self, query_vectors):
         self.q = self._matrix(query_vectors)
         self.n = len(self.q)
-        self.q_norm = np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1))
+        self.q_norm = np.sqrt(np.einsum("ij,ij->i", self.q, self.q, dtype=np.float64))
 
     def _matrix(self, column) -> np.ndarray:
         offsets, values = _flat(column)
@@ -60,7 +65,7 @@ class DenseL2:
         self.x = self._matrix(column)
         if self.n and len(self.x) and self.x.shape[1] != self.q.shape[1]:
             raise ValueError(f"questions have {self.q.shape[1]} dimensions, rows {self.x.shape[1]}")
-        self.x_sq = (self.x.astype(np.float64) ** 2).sum(axis=1)
+        self.x_sq = np.einsum("ij,ij->i", self.x, self.x, dtype=np.float64)
         return len(self.x)
 
     def candidates(self, kth: np.ndarray, k: int, key_order) -> Iterator[tuple]:
@@ -91,11 +96,14 @@ class DenseL2:
 
     @staticmethod
     def _screen(q, q_norm, x, x_sq, limit, slack, k) -> np.ndarray:
-        approx = (q_norm**2)[:, None] + x_sq[None, :] - 2.0 * (q @ x.T)
-        near = approx <= (limit + slack)[:, None]
+        # |x|^2 - 2qx, which orders a question's rows as the distance does.
+        part = np.multiply(q, np.float32(-2)) @ x.T
+        part += x_sq.astype(np.float32)
+        own = q_norm**2
+        near = part <= _above(limit + slack - own)[:, None]
         if len(x) > k and np.count_nonzero(near) > 4 * k * len(q):
-            limit = np.minimum(limit, np.partition(approx, k - 1, axis=1)[:, k - 1] + slack)
-            near = approx <= (limit + slack)[:, None]
+            kth = np.partition(part, k - 1, axis=1)[:, k - 1].astype(np.float64) + own
+            near = part <= _above(np.minimum(limit, kth + slack) + slack - own)[:, None]
         return near
 
     @staticmethod
@@ -115,10 +123,24 @@ class DenseL2:
 
 
 class SparseCosine:
-    """Negative cosine between sparse vectors; pairs that share nothing are no hits."""
+    """Negative cosine between sparse vectors; pairs that share nothing are no hits.
+
+    Features that many questions use go through a dense matrix product, the long
+    tail through posting lists, so a word found everywhere costs no pair list.
+    """
 
     def __init__(self, query_vectors, n_features: int):
         q, feature, weight, self.n = self._unit(query_vectors)
+        used = np.bincount(feature, minlength=n_features)
+        room = (8 * CELLS) // max(1, self.n)
+        common = np.argsort(-used, kind="stable")[:room]
+        common = common[used[common] * 64 > self.n]
+        self.common_ix = np.full(n_features, -1)
+        self.common_ix[common] = np.arange(len(common))
+        in_common = self.common_ix[feature] >= 0
+        self.dense = np.zeros((len(common), self.n))
+        self.dense[self.common_ix[feature[in_common]], q[in_common]] = weight[in_common]
+        q, feature, weight = q[~in_common], feature[~in_common], weight[~in_common]
         by_feature = np.argsort(feature, kind="stable")
         self.post_q, self.post_w = q[by_feature], weight[by_feature]
         self.start = np.searchsorted(feature[by_feature], np.arange(n_features + 1))
@@ -142,29 +164,38 @@ class SparseCosine:
 
     def candidates(self, kth: np.ndarray, k: int, key_order) -> Iterator[tuple]:
         per_slice = max(1, CELLS // max(1, self.n))
+        half = 0.5 * 10.0**-DIGITS
         for lo in range(0, self.rows, per_slice):
             hi = min(lo + per_slice, self.rows)
             a, b = np.searchsorted(self.row, [lo, hi])
             score = self._scores(a, b, lo, hi - lo)
-            cost = -np.round(score, DIGITS)
-            xi, qi = np.nonzero((cost < 0) & (cost <= kth[None, :]))
+            floor = np.maximum(-kth - 2 * half, half)
+            passing = score >= floor
+            if hi - lo > k and np.count_nonzero(passing) > 4 * k * self.n:
+                kth_here = np.partition(score, hi - lo - k, axis=0)[hi - lo - k]
+                passing = score >= np.maximum(floor, kth_here - 4 * half)
+            xi, qi = np.nonzero(passing)
+            cost = -np.round(score[xi, qi], DIGITS)
             if len(qi):
-                yield qi, xi + lo, cost[xi, qi]
+                yield qi, xi + lo, cost
 
     def _scores(self, a: int, b: int, lo: int, n_rows: int) -> np.ndarray:
-        total = np.zeros(n_rows * self.n)
-        feature = self.feature[a:b]
+        row, feature, weight = self.row[a:b] - lo, self.feature[a:b], self.weight[a:b]
+        common = self.common_ix[feature]
+        mine = np.zeros((n_rows, len(self.dense)))
+        mine[row[common >= 0], common[common >= 0]] = weight[common >= 0]
+        total = (mine @ self.dense).ravel()
         count = self.start[feature + 1] - self.start[feature]
         ends = np.cumsum(count)
         done = 0
         while done < len(count):
             base = ends[done - 1] if done else 0
-            stop = max(done + 1, int(np.searchsorted(ends, base + 2 * CELLS, "right")))
+            stop = max(done + 1, int(np.searchsorted(ends, base + CELLS, "right")))
             c = count[done:stop]
             hit = np.repeat(np.arange(done, stop), c)
             post = np.arange(len(hit)) - np.repeat(np.cumsum(c) - c, c) + self.start[feature[hit]]
-            cell = (self.row[a + hit] - lo) * self.n + self.post_q[post]
-            total += np.bincount(cell, self.weight[a + hit] * self.post_w[post], minlength=len(total))
+            cell = row[hit] * self.n + self.post_q[post]
+            total += np.bincount(cell, weight[hit] * self.post_w[post], minlength=len(total))
             done = stop
         return total.reshape(n_rows, self.n)
 

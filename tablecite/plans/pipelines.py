@@ -76,31 +76,6 @@ def build_from_files(
     return status, gold
 
 
-def retrieve(
-    questions: DataFrame,
-    gold: DataFrame,
-    chunks: DataFrame | None = None,
-    k: int = 5,
-    qid: str | Sequence[str] = "qid",
-    key: str | Sequence[str] = ("act", "page", "chunk_ix"),
-    margin: float | None = None,
-    strategy: str = "auto",
-) -> DataFrame:
-    """Ranked hits with their text for embedded ``questions``.
-
-    The vector scan reads keys and vectors only; ``chunks`` (default: ``gold``)
-    is scanned for text once, joined to at most questions x k keys. A
-    ``margin`` drops far hits before they fetch text.
-    """
-    size = search.question_size(questions, qid)
-    hits = search.knn(questions, gold, k, qid, key, strategy=strategy, size=size)
-    if margin is not None:
-        hits = search.within_margin(hits, margin, qid)
-    vectors = {"embedding"} if chunks is None else set()
-    text = gold if chunks is None else chunks
-    return search.attach(hits, text.drop(*vectors), key, max_hits=size.rows * k)
-
-
 def answer_extractively(
     questions: DataFrame,
     gold: DataFrame,
@@ -120,7 +95,7 @@ def answer_extractively(
     stored = F.col(stored_col) if stored_col else None
     asked = questions.withColumn("_asked", final_question(F.col(question_col), stored))
     live = asked.where(F.col("_asked").isNotNull())
-    hits = retrieve(live, gold, chunks, k, qid, key, margin)
+    hits = search.retrieve(live, gold, chunks, k, qid, key, margin)
     answers = extractive_answer(hits, live, qid, margin=None, question_col="_asked")
     return guard_answers(questions.drop("embedding"), answers, qid, question_col, stored_col)
 
@@ -147,7 +122,7 @@ def rag(
     **options,
 ) -> DataFrame:
     """Retrieve, prompt, generate: question keys, ``answer``, its status, ``sources``."""
-    hits = retrieve(questions, gold, chunks, k, qid, key)
+    hits = search.retrieve(questions, gold, chunks, k, qid, key)
     sourced = search.source_structs(hits, qid)
     prompts = build_prompt(sourced, questions, template, qid, question_col)
     answered = generate(prompts, fn, fallback, **options)

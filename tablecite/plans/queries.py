@@ -61,7 +61,7 @@ def _hits(spark: SparkSession, sf: str, k: int = 10, margin: float | None = None
     """Chunks of all documents, ranked for all user turns."""
     chunks = _chunks(spark, sf)
     asked = embed(_questions(spark, sf), "question")
-    return pipelines.retrieve(asked, embed(chunks), chunks, k, QID, KEY, margin)
+    return search.retrieve(asked, embed(chunks), chunks, k, QID, KEY, margin)
 
 
 def _vector_hits(spark: SparkSession, sf: str, k: int = 10, **plan) -> DataFrame:

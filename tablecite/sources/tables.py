@@ -42,13 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of few file splits one task per core before heavy row work.
+    """Give a scan of few file splits two tasks per core before heavy row work.
 
     A no-op on inputs that already have that many splits, which is every input
     large enough for the shuffle to matter. Call it directly on a scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
