@@ -17,6 +17,7 @@ WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+_IRREGULAR_GAP = rf"[{WS}&&[^ ]]{WS}*| {WS}+"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z(])"
 
 # Letters, numbers, underscore and whitespace survive; the second form also
@@ -27,7 +28,7 @@ _NOT_WORD_OR_MARK = r"[^\p{L}\p{M}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a variable."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 _JAVA_CLASS = {
@@ -57,7 +58,8 @@ def lines(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return strip(F.regexp_replace(c, WS + "+", " "))
+    """Single spaces only. Matches nothing but irregular gaps, which are rare."""
+    return strip(F.regexp_replace(c, _IRREGULAR_GAP, " "))
 
 
 def sentences(c: Column, min_chars: int = 40) -> Column:
@@ -82,7 +84,7 @@ def top_sentences(text: Column, qwords: Column, n: int = 3, min_chars: int = 40)
         sentences(text, min_chars),
         lambda s, i: F.struct((-overlap(s, qwords)).alias("o"), i.alias("i"), s.alias("s")),
     )
-    return F.transform(F.slice(F.array_sort(scored), 1, n), lambda r: r["s"])
+    return F.transform(F.slice(F.sort_array(scored), 1, n), lambda r: r["s"])
 
 
 def first_unique(sents: Column, n: int = 3, prefix: int = 60) -> Column:

@@ -47,23 +47,24 @@ def _key_bytes(df: DataFrame, keys: list[str]) -> Column:
     return total
 
 
-def _measure(df: DataFrame, keys: list[str], payload: Column) -> SideSize:
+def _measure(df: DataFrame, keys: list[str], payload: str) -> SideSize:
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(_key_bytes(df, keys) + payload), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(_key_bytes(df, keys) + F.expr(payload)), F.lit(0)).alias("bytes"),
     ).first()
     return SideSize(int(row["rows"]), int(row["bytes"]))
 
 
 @dataclass(frozen=True)
 class Weight:
-    """Bytes of one vector: exactly, and as a bound that needs no vector at all."""
+    """Bytes of one vector ``_v`` in SQL: exactly, and as a bound that needs no vector."""
 
-    exact: Column
-    bound: Column | None = None
+    exact: str
+    bound: str | None = None
 
 
-DENSE = Weight(F.size("_v") * 4, F.lit(MAX_DIM * 4))
+DENSE = Weight("4 * size(_v)", str(4 * MAX_DIM))
+SPARSE = Weight("12 * size(_v.indices) + 16")
 
 
 def _fits(df: DataFrame, keys: list[str], weight: Weight, budget: int) -> tuple[bool, SideSize]:
@@ -253,7 +254,7 @@ def cosine_topk(
 
     hits, _ = _topk(
         questions, corpus, _names(qid), _names(key), qvec, vec, k, metric,
-        Weight(F.size("_v.indices") * 12 + 16), strategy, broadcast_bytes, block_bytes,
+        SPARSE, strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumn("_cost", -F.col("_cost")).withColumnRenamed("_cost", "score")
 
@@ -305,7 +306,7 @@ def previews(hits: DataFrame, text_col: str = "chunk", n: int = 3, chars: int =
 
 def ranked_acts(hits: DataFrame, qid: str | Sequence[str] = "qid") -> DataFrame:
     """Per question: the acts in rank order, with repeats and in first-seen order."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "act")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "act")))
     acts = F.transform(ordered, lambda h: h["act"])
     return (
         hits.groupBy(*_names(qid))
@@ -319,7 +320,7 @@ def source_structs(
 ) -> DataFrame:
     """Per question: its hits as an array of ``{rank, text, act, score}`` in rank order."""
     one = F.struct("rank", F.col(text_col).alias("text"), "act", "score")
-    return hits.groupBy(*_names(qid)).agg(F.array_sort(F.collect_list(one)).alias("sources"))
+    return hits.groupBy(*_names(qid)).agg(F.sort_array(F.collect_list(one)).alias("sources"))
 
 
 def corpus_stats(gold: DataFrame, vec: str = "embedding") -> DataFrame:

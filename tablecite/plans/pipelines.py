@@ -6,12 +6,18 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablecite.functions.text import final_question, lookup
+from tablecite.functions.text import final_question, let, lookup
 from tablecite.operators import search
-from tablecite.operators.answer import NO_QUESTION, extractive_answer, guard_answers
+from tablecite.operators.answer import (
+    NO_QUESTION,
+    answer_text,
+    extractive_answer,
+    guard_answers,
+    hit_sentences,
+)
 from tablecite.operators.chunk import chunk_words, ingest_pages
 from tablecite.operators.clean import clean_corpus
 from tablecite.operators.embed import Embedder, embed
@@ -158,20 +164,28 @@ def grid_answers(
     qid: str | Sequence[str] = "qid",
     margin: float | None = None,
     question_col: str = "question",
+    text_col: str = "chunk",
 ) -> DataFrame:
     """Extractive answers with their sources for several k from one ranking.
 
-    ``hits`` is ranked at the largest k; both results are grouped by the same
-    keys, so the join of answers and sources adds no shuffle of its own.
+    ``hits`` is ranked at the largest k. Each hit's sentences are picked once,
+    whatever the number of ks; answers use the hits within the margin, sources
+    are all k. Hits are spread by question once and then grouped in place.
     """
-    run_qid = [*_names(qid), "k"]
-    runs = search.k_grid(hits, ks)
-    asked = questions.select(*_names(qid), question_col).withColumn(
-        "k", F.explode(F.array(*[F.lit(k) for k in ks]))
+    found = hit_sentences(hits, questions, qid, text_col, question_col)
+    best = F.min("score").over(Window.partitionBy(*_names(qid)))
+    near = F.lit(True) if margin is None else F.col("score") <= best + margin
+    kept = found.withColumn("near", near)
+    one = F.struct("rank", F.col(text_col).alias("text"), "act", "score", "sents", "near")
+    ranked = F.sort_array(F.collect_list(one)).alias("_hits")
+    grouped = search.k_grid(kept, ks).groupBy(*_names(qid), "k").agg(ranked)
+    used = F.filter("_hits", lambda h: h["near"])
+    return grouped.select(
+        *_names(qid),
+        "k",
+        let(used, answer_text).alias("answer"),
+        F.transform("_hits", lambda h: h.dropFields("sents", "near")).alias("sources"),
     )
-    answers = extractive_answer(runs, asked, run_qid, margin, question_col=question_col)
-    sources = search.source_structs(runs, run_qid)
-    return answers.join(sources, run_qid)
 
 
 def run_experiment(
