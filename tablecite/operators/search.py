@@ -146,9 +146,12 @@ def _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema) ->
     re-run task rebuilds the same blocks. Each side is sent once per block of
     the other side.
     """
-    corpus = _measure(cs, keys, weight.exact)
+    if weight.bound is None:
+        corpus_bytes = _measure(cs, keys, weight.exact).bytes
+    else:  # all vectors are as long as the questions': counting rows is enough
+        corpus_bytes = _measure(cs, keys, "0").rows * -(-size.bytes // max(1, size.rows))
     nq = max(1, -(-size.bytes // block_bytes))
-    nc = max(1, -(-corpus.bytes // block_bytes))
+    nc = max(1, -(-corpus_bytes // block_bytes))
 
     def blocks(df: DataFrame, key: list[str], own: str, n: int, other: str, m: int) -> DataFrame:
         number = F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
