@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablecite.functions.scoring import hit_label, relevance
 from tablecite.functions.text import preview
-from tablecite.operators.topk import DenseL2, SparseCosine, TopK
+from tablecite.operators.topk import Contenders, DenseL2, SparseCosine
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
@@ -130,15 +130,21 @@ def _broadcast(qs, cs, qkeys, keys, k, metric, schema, budget) -> DataFrame | No
     shared = cs.sparkSession.sparkContext.broadcast(questions)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        best = TopK(metric(table["_v"]), table.select(qkeys), keys, k)
+        asked = shared.value
+        contenders = Contenders(metric(asked["_v"]), k)
         for batch in batches:
-            best.add(pa.Table.from_batches([batch]).select(keys), batch.column("_v"))
-        yield from best.result()
+            yield from _pairs(contenders, asked, pa.Table.from_batches([batch]), qkeys, keys)
 
     return cs.mapInArrow(scan, schema)
 
 
+def _pairs(contenders, asked: pa.Table, rows: pa.Table, qkeys, keys) -> Iterator[pa.RecordBatch]:
+    for q, row, cost in contenders.pick(rows.select(keys), rows["_v"]):
+        q, row = pa.array(q), pa.array(row)
+        columns = {c: asked[c].take(q) for c in qkeys} | {c: rows[c].take(row) for c in keys}
+        yield from pa.table({**columns, "_cost": cost}).combine_chunks().to_batches()
+
+
 def _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema) -> DataFrame:
     """Cut both sides into hashed blocks and pair every two blocks once.
 
@@ -160,21 +166,15 @@ def _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema) ->
 
     left = blocks(qs, qkeys, "_qb", nq, "_cb", nc)
     right = blocks(cs, keys, "_cb", nc, "_qb", nq)
-    out_names = [f.name for f in schema]
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        parts = []
-        if len(q) and len(c):
-            best = TopK(metric(q["_v"]), q.select(qkeys), keys, k)
-            for batch in c.to_batches(max_chunksize=16_384):
-                best.add(pa.Table.from_batches([batch]).select(keys), batch.column("_v"))
-            parts = list(best.result())
-        if parts:
-            return pa.Table.from_batches(parts)
-        empty = {f.name: q.schema.field(f.name).type for f in q.select(qkeys).schema}
-        empty.update({f.name: f.type for f in c.select(keys).schema})
-        empty["_cost"] = pa.float64()
-        return pa.table({n: pa.array([], empty[n]) for n in out_names})
+
+    def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        fields = [*asked.select(qkeys).schema, *rows.select(keys).schema, pa.field("_cost", pa.float64())]
+        found = []
+        if len(asked) and len(rows):
+            contenders = Contenders(metric(asked["_v"]), k)
+            for batch in rows.to_batches(max_chunksize=16_384):
+                found += _pairs(contenders, asked, pa.Table.from_batches([batch]), qkeys, keys)
+        return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
 
     return (
         left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(cell, schema)

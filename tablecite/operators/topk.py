@@ -1,14 +1,14 @@
-"""Exact top-k inside one task: numpy over Arrow batches, bounded memory.
+"""Distances inside one task: numpy over Arrow batches, bounded memory.
 
-Used by ``search``. Spark decides which rows meet here; this module only keeps
-the best k per question among the rows it is shown. Its state holds at most
-``questions x k`` rows, so what a task emits does not grow with the corpus.
+Used by ``search``, where Spark decides which rows meet and ranks what is left.
+This module measures, and drops the rows that cannot be among a question's best
+k because the task has seen k better ones: at most k per question and batch stay.
 
 Costs are "smaller is better" and rounded to ``DIGITS`` decimals, so that sums
 taken in another order rank the same; equal costs go to the smaller key.
 """
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,13 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], values.to_numpy(zero_copy_only=False)
 
 
-def first_k(q: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> np.ndarray:
-    """Positions of the first ``k`` entries per ``q`` under the given sort keys."""
+def first_k(q: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first ``k`` entries per ``q`` under the sort keys, and their ranks."""
     pos = np.lexsort((*reversed(order), q))
-    qs = q[pos]
-    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
-    rank = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
-    return pos[rank < k]
+    new = np.r_[True, np.diff(q[pos]) != 0] if len(q) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return pos[rank < k], rank[rank < k]
 
 
 def _above(bound: np.ndarray) -> np.ndarray:
@@ -68,10 +68,10 @@ class DenseL2:
         self.x_sq = np.einsum("ij,ij->i", self.x, self.x, dtype=np.float64)
         return len(self.x)
 
-    def candidates(self, kth: np.ndarray, k: int, key_order) -> Iterator[tuple]:
+    def candidates(self, kth: np.ndarray, k: int, place: np.ndarray) -> Iterator[tuple]:
         """Yield (question, row, cost) arrays that contain every top-k pair.
 
-        A float32 matrix product screens the pairs with an error allowance;
+        ``kth`` are costs to beat, ``place`` orders the rows by key. A float32 matrix product screens the pairs with an error allowance;
         what passes is measured again by direct differences in float64.
         """
         x, x_sq, rows = self.x, self.x_sq, np.arange(len(self.x))
@@ -87,7 +87,7 @@ class DenseL2:
             qi, xi = np.nonzero(near)
             if len(qi) > 8 * k * len(q) and len(rows) == len(self.x):
                 # Many copies of one vector: only the k smallest keys of each can win.
-                rows = self._distinct_rows(k, key_order())
+                rows = self._distinct_rows(k, place)
                 x, x_sq = self.x[rows], self.x_sq[rows]
                 near = self._screen(q, q_norm, x, x_sq, limit, slack, k)
                 qi, xi = np.nonzero(near)
@@ -115,11 +115,10 @@ class DenseL2:
             parts.append((d * d).sum(axis=1))
         return np.round(np.concatenate(parts), DIGITS)
 
-    def _distinct_rows(self, k: int, key_order: np.ndarray) -> np.ndarray:
-        x = np.ascontiguousarray(self.x[key_order])
-        as_bytes = x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    def _distinct_rows(self, k: int, place: np.ndarray) -> np.ndarray:
+        as_bytes = self.x.view(np.dtype((np.void, self.x.shape[1] * self.x.itemsize))).ravel()
         group = np.unique(as_bytes, return_inverse=True)[1].ravel()
-        return np.sort(key_order[first_k(group, (np.arange(len(group)),), k)])
+        return np.sort(first_k(group, (place,), k)[0])
 
 
 class SparseCosine:
@@ -162,7 +161,7 @@ class SparseCosine:
         self.rows = n
         return n
 
-    def candidates(self, kth: np.ndarray, k: int, key_order) -> Iterator[tuple]:
+    def candidates(self, kth: np.ndarray, k: int, place: np.ndarray) -> Iterator[tuple]:
         per_slice = max(1, CELLS // max(1, self.n))
         half = 0.5 * 10.0**-DIGITS
         for lo in range(0, self.rows, per_slice):
@@ -200,52 +199,33 @@ class SparseCosine:
         return total.reshape(n_rows, self.n)
 
 
-class TopK:
-    """The best ``k`` rows per question seen so far."""
+class Contenders:
+    """Picks the rows of each batch that may be among a question's best ``k``."""
 
-    def __init__(self, metric, query_keys: pa.Table, key_cols: list[str], k: int):
-        self.metric, self.query_keys, self.key_cols, self.k = metric, query_keys, key_cols, k
-        self.kth = np.full(metric.n, np.inf)
-        self.best = None
+    def __init__(self, metric, k: int):
+        self.metric, self.k = metric, k
+        self.best = np.full((metric.n, k), np.inf)
 
-    def add(self, keys: pa.Table, vectors) -> None:
+    def pick(self, keys: pa.Table, vectors) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Yield (question, row, cost) for one batch."""
         if len(keys) == 0 or self.metric.n == 0:
             return
         self.metric.load(vectors)
-        order = []
-
-        def key_order() -> np.ndarray:
-            if not order:
-                by = [(c, "ascending") for c in self.key_cols]
-                order.append(pc.sort_indices(keys, sort_keys=by).to_numpy())
-            return order[0]
-
-        for q, row, cost in self.metric.candidates(self.kth, self.k, key_order):
-            if len(q) > 4 * self.k * self.metric.n:
-                place = np.empty(len(keys), dtype=np.int64)
-                place[key_order()] = np.arange(len(keys))
-                keep = first_k(q, (cost, place[row]), self.k)
-                q, row, cost = q[keep], row[keep], cost[keep]
-            self._merge(q, cost, keys.take(pa.array(row)))
-
-    def _merge(self, q: np.ndarray, cost: np.ndarray, keys: pa.Table) -> None:
-        new = pa.table({"_q": q.astype(np.int64), "_cost": cost, **{c: keys[c] for c in self.key_cols}})
-        both = new if self.best is None else pa.concat_tables([self.best, new])
-        by = [(c, "ascending") for c in ["_q", "_cost", *self.key_cols]]
-        both = both.take(pc.sort_indices(both, sort_keys=by))
-        qs = both["_q"].to_numpy()
-        self.best = both.take(pa.array(first_k(qs, (np.arange(len(qs)),), self.k)))
-        qs = self.best["_q"].to_numpy()
-        counts = np.bincount(qs, minlength=self.metric.n)
-        full = counts >= self.k
-        last = np.cumsum(counts) - 1
-        self.kth[full] = self.best["_cost"].to_numpy()[last[full]]
-
-    def result(self) -> Iterable[pa.RecordBatch]:
-        if self.best is None:
-            return
-        q = self.best["_q"]
-        out = {c: self.query_keys[c].take(q) for c in self.query_keys.column_names}
-        out.update({c: self.best[c] for c in self.key_cols})
-        out["_cost"] = self.best["_cost"]
-        yield from pa.table(out).combine_chunks().to_batches(max_chunksize=10_000)
+        by_key = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names])
+        place = np.empty(len(keys), dtype=np.int64)
+        place[by_key.to_numpy()] = np.arange(len(keys))
+        for q, row, cost in self.metric.candidates(self.best[:, -1], self.k, place):
+            open_ = cost <= self.best[q, -1]
+            q, row, cost = q[open_], row[open_], cost[open_]
+            keep, rank = first_k(q, (cost, place[row]), self.k)
+            q, row, cost = q[keep], row[keep], cost[keep]
+            self._remember(q, rank, cost)
+            yield q, row, cost
+
+    def _remember(self, q: np.ndarray, rank: np.ndarray, cost: np.ndarray) -> None:
+        asked, line = np.unique(q, return_inverse=True)
+        new = np.full((len(asked), self.k), np.inf)
+        new[line, rank] = cost
+        both = np.concatenate([self.best[asked], new], axis=1)
+        both.partition(self.k - 1, axis=1)
+        self.best[asked] = np.sort(both[:, : self.k], axis=1)

@@ -382,7 +382,7 @@ def statements() -> dict[str, str]:
     s["hashed_embedding"] = f"""
       WITH {CHUNKS}, {_slots("chunk", "chunks", _K, "chunk")}
       SELECT {_K}, slot::INT AS slot, value FROM chunk_slots"""
-    s["tfidf_pipeline"] = s["tfidf_model_roundtrip"] = FEATURE_ROWS
+    s["tfidf_features"] = s["tfidf_model_roundtrip"] = FEATURE_ROWS
     s["tfidf_topk"] = f"""
       WITH {CHUNKS}, {ASKED}, {FEATURES}, {TFIDF_HITS} SELECT {_Q}, {_K}, score, rank FROM tfidf_hits"""
     s["term_idf"] = r"""

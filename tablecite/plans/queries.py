@@ -339,7 +339,7 @@ def _feature_rows(fitted: PipelineModel, chunks: DataFrame) -> DataFrame:
     return rows.select(*KEY, pairs).withColumn("weight", F.round("weight", 6))
 
 
-def tfidf_pipeline(spark, sf):
+def tfidf_features(spark, sf):
     return _feature_rows(*_fitted(spark, sf))
 
 
@@ -396,7 +396,7 @@ ALL: tuple[Query, ...] = (
     source_structs, question_words, question_guard, language_code, sentence_split,
     sentence_overlap_top3, sentence_dedupe, extractive_answer, prompt_build, payload_json,
     response_parse, rag_answers, map_text_fallback, translate_passthrough, faithfulness,
-    faithfulness_grid, run_log_roundtrip, hashed_embedding, tfidf_pipeline,
+    faithfulness_grid, run_log_roundtrip, hashed_embedding, tfidf_features,
     tfidf_model_roundtrip, tfidf_topk, term_idf, medallion_roundtrip, csv_roundtrip,
     text_scan_labelled,
 )
