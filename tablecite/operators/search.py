@@ -221,7 +221,8 @@ def retrieve(
     is scanned for text once, joined to at most questions x k keys. A
     ``margin`` drops far hits before they fetch text.
     """
-    gold = gold.dropna(subset=_names(key))  # as the join below would, but before ranking
+    for c in _names(key):  # as the join below would, but before ranking
+        gold = gold.where(F.col(c).isNotNull())
     hits, size = _topk(
         questions, gold, _names(qid), _names(key), "embedding", "embedding", k, DenseL2, DENSE,
         strategy, BROADCAST_BYTES, BLOCK_BYTES,
