@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecite.functions.columns import names
 from tablecite.functions.scoring import hit_label, relevance
 from tablecite.functions.text import preview
 from tablecite.operators.topk import Contenders, DenseL2, SparseCosine
@@ -35,10 +36,6 @@ class SideSize:
     bytes: int
 
 
-def _names(cols: str | Sequence[str]) -> list[str]:
-    return [cols] if isinstance(cols, str) else list(cols)
-
-
 def _key_bytes(df: DataFrame, keys: list[str]) -> Column:
     total = F.lit(0).cast("bigint")
     for c in keys:
@@ -196,10 +193,10 @@ def knn(
     """The ``k`` corpus rows at the smallest squared L2 distance, per question.
 
     Returns the question keys, the corpus keys, ``score`` and ``rank`` (from 1).
-    Equal scores go to the smaller key; a corpus below ``k`` rows gives fewer.
+    Both keys are unique and never NULL. Equal scores go to the smaller key; a corpus below ``k`` rows gives fewer.
     """
     hits, _ = _topk(
-        questions, corpus, _names(qid), _names(key), qvec, vec, k, DenseL2, DENSE,
+        questions, corpus, names(qid), names(key), qvec, vec, k, DenseL2, DENSE,
         strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumnRenamed("_cost", "score")
@@ -221,10 +218,10 @@ def retrieve(
     is scanned for text once, joined to at most questions x k keys. A
     ``margin`` drops far hits before they fetch text.
     """
-    for c in _names(key):  # as the join below would, but before ranking
+    for c in names(key):  # as the join below would, but before ranking
         gold = gold.where(F.col(c).isNotNull())
     hits, size = _topk(
-        questions, gold, _names(qid), _names(key), "embedding", "embedding", k, DenseL2, DENSE,
+        questions, gold, names(qid), names(key), "embedding", "embedding", k, DenseL2, DENSE,
         strategy, BROADCAST_BYTES, BLOCK_BYTES,
     )
     hits = hits.withColumnRenamed("_cost", "score")
@@ -257,7 +254,7 @@ def cosine_topk(
         return SparseCosine(column, n_features)
 
     hits, _ = _topk(
-        questions, corpus, _names(qid), _names(key), qvec, vec, k, metric,
+        questions, corpus, names(qid), names(key), qvec, vec, k, metric,
         SPARSE, strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumn("_cost", -F.col("_cost")).withColumnRenamed("_cost", "score")
@@ -270,7 +267,7 @@ def within_margin(
 
     Straight after ``knn`` this reuses its partitioning: no further shuffle.
     """
-    best = F.min("score").over(Window.partitionBy(*_names(qid)))
+    best = F.min("score").over(Window.partitionBy(*names(qid)))
     return hits.withColumn("_best", best).where(F.col("score") <= F.col("_best") + margin).drop("_best")
 
 
@@ -288,7 +285,7 @@ def attach(
     """
     if max_hits is not None and max_hits <= BROADCAST_HITS:
         hits = F.broadcast(hits)
-    return chunks.join(hits, _names(key))
+    return chunks.join(hits, names(key))
 
 
 def k_grid(hits: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -313,7 +310,7 @@ def ranked_acts(hits: DataFrame, qid: str | Sequence[str] = "qid") -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("rank", "act")))
     acts = F.transform(ordered, lambda h: h["act"])
     return (
-        hits.groupBy(*_names(qid))
+        hits.groupBy(*names(qid))
         .agg(acts.alias("acts"))
         .withColumn("distinct_acts", F.array_distinct("acts"))
     )
@@ -324,7 +321,7 @@ def source_structs(
 ) -> DataFrame:
     """Per question: its hits as an array of ``{rank, text, act, score}`` in rank order."""
     one = F.struct("rank", F.col(text_col).alias("text"), "act", "score")
-    return hits.groupBy(*_names(qid)).agg(F.sort_array(F.collect_list(one)).alias("sources"))
+    return hits.groupBy(*names(qid)).agg(F.sort_array(F.collect_list(one)).alias("sources"))
 
 
 def corpus_stats(gold: DataFrame, vec: str = "embedding") -> DataFrame:

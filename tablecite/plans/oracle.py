@@ -5,7 +5,7 @@ Statements share common table expressions; each one lists those it needs.
 
 from __future__ import annotations
 
-from tablecite.operators.prompt import NOTEBOOK
+from tablecite.operators.prompt import APP, NOTEBOOK, Template
 
 _Q = "conv_id, turn"
 _K = "act, page, chunk_ix"
@@ -160,14 +160,17 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-PROMPTS = f"""
+def _prompts(template: Template) -> str:
+    return f"""
     prompts AS (
-      SELECT {_Q}, {_quote(NOTEBOOK.header)} || 'Legal Context:' || chr(10) || context
+      SELECT {_Q}, {_quote(template.header)} || 'Legal Context:' || chr(10) || context
              || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10)
-             || {_quote(NOTEBOOK.cue)} AS prompt, acts
+             || {_quote(template.cue)} AS prompt, acts, shown
       FROM (SELECT {_Q}, string_agg('[From ' || upper(act) || ']: ' || chunk, chr(10) || chr(10)
                                     ORDER BY rank) AS context,
-                   string_agg(act, ',' ORDER BY rank) AS acts
+                   string_agg(act, ',' ORDER BY rank) AS acts,
+                   string_agg('  - ' || upper(act) || ' (score: ' || format('{{:.2f}}', score) || ')',
+                              chr(10) ORDER BY rank) AS shown
             FROM hits GROUP BY {_Q}) JOIN asked USING ({_Q}))"""
 
 
@@ -326,7 +329,7 @@ def statements() -> dict[str, str]:
     s["extractive_answer"] = f"""{_with_hits(10, 0.1)}, {_answers(_Q, "hits")}
       SELECT {_Q}, coalesce(answer, 'Could not find relevant information in the provided legal texts.') AS answer
       FROM asked LEFT JOIN answers USING ({_Q})"""
-    s["prompt_build"] = f"{_with_hits(3)}, {PROMPTS} SELECT {_Q}, prompt FROM prompts"
+    s["prompt_build"] = f"{_with_hits(3)}, {_prompts(NOTEBOOK)} SELECT {_Q}, prompt FROM prompts"
     s["payload_json"] = f"""
       WITH {ASKED}
       SELECT {_Q}, json_object('inputs', question, 'parameters',
@@ -336,7 +339,7 @@ def statements() -> dict[str, str]:
                  THEN {_strip(r"list_last(string_split(text || ' Answer: ' || chr(10) || text, 'Answer'))")}
                WHEN 'assistant' THEN '' ELSE '{{"error":"' || role || '"}}' END AS answer
       FROM conversations"""
-    s["rag_answers"] = f"""{_with_hits(3)}, {PROMPTS}
+    s["rag_answers"] = f"""{_with_hits(3)}, {_prompts(NOTEBOOK)}
       SELECT {_Q},
              CASE WHEN length(prompt) % 4 <> 0
                   THEN '(in the same language as the question): length ' || length(prompt)
@@ -345,6 +348,12 @@ def statements() -> dict[str, str]:
              CASE WHEN length(prompt) % 4 <> 0 THEN 'ok'
                   WHEN length(prompt) > 9000 THEN 'error' ELSE 'fallback' END AS answer_status, acts
       FROM prompts"""
+    s["cited_answers"] = f"""{_with_hits(3)}, {_prompts(APP)}
+      SELECT {_Q}, CASE WHEN prompt IS NULL THEN 'Please enter a question.'
+                        WHEN length(prompt) % 4 = 0 THEN '[Error contacting LLM: busy]'
+                        ELSE ': length ' || length(prompt) END AS answer,
+             coalesce('Sources cited:' || chr(10) || shown, '') AS sources_text
+      FROM conversations LEFT JOIN prompts USING ({_Q})"""
     s["map_text_fallback"] = f"""
       SELECT {_Q},
              CASE WHEN NOT contains(text, 'the') THEN text || '!'

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablecite.functions.columns import names
 from tablecite.functions.text import final_question, let, lookup
 from tablecite.operators import search
 from tablecite.operators.answer import (
@@ -32,10 +33,6 @@ LANGUAGES = {"English": "en", "Hindi": "hi", "Kannada": "kn", "Tamil": "ta", "Te
 DEFAULT_LANGUAGE = "en"
 
 
-def _names(cols: str | Sequence[str]) -> list[str]:
-    return [cols] if isinstance(cols, str) else list(cols)
-
-
 @dataclass(frozen=True)
 class Layers:
     bronze: DataFrame
@@ -132,7 +129,7 @@ def rag(
     sourced = search.source_structs(hits, qid)
     prompts = build_prompt(sourced, questions, template, qid, question_col)
     answered = generate(prompts, fn, fallback, **options)
-    return answered.select(*_names(qid), "answer", "answer_status", "sources")
+    return answered.select(*names(qid), "answer", "answer_status", "sources")
 
 
 def answer_questions(
@@ -151,8 +148,8 @@ def answer_questions(
     asked = questions.where(final_question(F.col(question_col)).isNotNull())
     options.setdefault("error_format", "[Error contacting LLM: {error}]")
     answered = rag(asked, gold, fn, None, chunks, k, qid, key, APP, question_col, **options)
-    shown = answered.select(*_names(qid), "answer", sources_text(F.col("sources")).alias("sources_text"))
-    everyone = questions.select(*_names(qid), question_col)
+    shown = answered.select(*names(qid), "answer", sources_text(F.col("sources")).alias("sources_text"))
+    everyone = questions.select(*names(qid), question_col)
     full = guard_answers(everyone, shown, qid, question_col, no_question=NO_QUESTION)
     return full.withColumn("sources_text", F.coalesce("sources_text", F.lit(""))).drop(question_col)
 
@@ -173,15 +170,15 @@ def grid_answers(
     are all k. Hits are spread by question once and then grouped in place.
     """
     found = hit_sentences(hits, questions, qid, text_col, question_col)
-    best = F.min("score").over(Window.partitionBy(*_names(qid)))
+    best = F.min("score").over(Window.partitionBy(*names(qid)))
     near = F.lit(True) if margin is None else F.col("score") <= best + margin
     kept = found.withColumn("near", near)
     one = F.struct("rank", F.col(text_col).alias("text"), "act", "score", "sents", "near")
     ranked = F.sort_array(F.collect_list(one)).alias("_hits")
-    grouped = search.k_grid(kept, ks).groupBy(*_names(qid), "k").agg(ranked)
+    grouped = search.k_grid(kept, ks).groupBy(*names(qid), "k").agg(ranked)
     used = F.filter("_hits", lambda h: h["near"])
     return grouped.select(
-        *_names(qid),
+        *names(qid),
         "k",
         let(used, answer_text).alias("answer"),
         F.transform("_hits", lambda h: h.dropFields("sents", "near")).alias("sources"),

@@ -257,6 +257,15 @@ def rag_answers(spark, sf):
     return answered.select(*QID, "answer", "answer_status", acts.alias("acts"))
 
 
+def cited_answers(spark, sf):
+    """Every turn is asked, but only user turns are typed questions."""
+    chunks = _chunks(spark, sf)
+    typed = F.when(F.col("role") == "user", F.col("text")).otherwise(" \n")
+    turns = _table(spark, sf, "conversations").select(*QID, typed.alias("question"))
+    asked = embed(turns, "question")
+    return pipelines.answer_questions(asked, embed(chunks), echo_length, chunks, 3, QID, KEY)
+
+
 def shout(said: str) -> str:
     if "the" in said:
         raise ValueError("the")
@@ -395,7 +404,7 @@ ALL: tuple[Query, ...] = (
     knn_relevance, knn_k_grid, source_acts_first_seen, source_acts_ranked, sources_block,
     source_structs, question_words, question_guard, language_code, sentence_split,
     sentence_overlap_top3, sentence_dedupe, extractive_answer, prompt_build, payload_json,
-    response_parse, rag_answers, map_text_fallback, translate_passthrough, faithfulness,
+    response_parse, rag_answers, cited_answers, map_text_fallback, translate_passthrough, faithfulness,
     faithfulness_grid, run_log_roundtrip, hashed_embedding, tfidf_features,
     tfidf_model_roundtrip, tfidf_topk, term_idf, medallion_roundtrip, csv_roundtrip,
     text_scan_labelled,
