@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecite.functions.columns import names
 from tablecite.functions.text import final_question, let, lookup
@@ -40,15 +41,25 @@ class Layers:
     gold: DataFrame
 
 
-def build_lake(pages: DataFrame, path: str, embedder: Embedder | None = None, dim: int = 384) -> Layers:
+def build_lake(
+    pages: DataFrame,
+    path: str,
+    embedder: Embedder | None = None,
+    dim: int = 384,
+    partition_by: Sequence[str] = (),
+) -> Layers:
     """Pages (``act``, ``page``, ``text``) to bronze, silver and gold tables under ``path``.
 
     Every layer is written once and read back, so a lost executor costs no more
     than the layer in progress and nothing upstream is computed twice.
     """
-    bronze = write_layer(ingest_pages(pages), f"{path}/bronze", BRONZE)
-    silver = write_layer(chunk_words(bronze), f"{path}/silver", SILVER)
-    gold = write_layer(embed(silver, "chunk", embedder=embedder, dim=dim), f"{path}/gold", GOLD)
+
+    def layer(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+        return write_layer(df, f"{path}/{name}", schema, partition_by=partition_by)
+
+    bronze = layer(ingest_pages(pages), "bronze", BRONZE)
+    silver = layer(chunk_words(bronze), "silver", SILVER)
+    gold = layer(embed(silver, "chunk", embedder=embedder, dim=dim), "gold", GOLD)
     return Layers(bronze, silver, gold)
 
 

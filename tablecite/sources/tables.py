@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +69,26 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_layer(
-    df: DataFrame, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
+    df: DataFrame,
+    path: str,
+    schema: T.StructType | None = None,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Overwrite ``path`` and return the table read back, so later steps start from files."""
+    """Overwrite ``path`` and return the table read back, so later steps start from files.
+
+    ``partition_by`` lays out folders without a shuffle. With ``act`` there, a
+    join to hits reads only the acts that were hit.
+    """
     if schema is not None:
         df = conform(df, schema)
-    df.write.format(fmt).mode("overwrite").save(path)
+    df.write.format(fmt).mode("overwrite").partitionBy(*partition_by).save(path)
     return read_layer(df.sparkSession, path, schema, fmt)
 
 
 def read_layer(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
-
+    if schema is None:
+        return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).schema(schema).load(path).select(*schema.names)

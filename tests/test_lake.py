@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecite.operators.embed import embed
+from tablecite.operators.search import retrieve
 from tablecite.plans import pipelines
 from tablecite.sources import files, runlog, tables
+from tests.plans import plan_of
 
 LABELS = "file string, act string"
 
@@ -76,6 +78,18 @@ def test_lake_layers(spark, tmp_path):
     assert layers.gold.where(F.size("embedding") != 8).count() == 0
 
 
+def test_layers_by_act_hold_the_same_rows_and_prune_on_hits(spark, tmp_path):
+    plain = pipelines.build_lake(pages(spark), str(tmp_path / "a"), dim=64)
+    by_act = pipelines.build_lake(pages(spark), str(tmp_path / "b"), dim=64, partition_by=["act"])
+    assert by_act.gold.columns == plain.gold.columns
+    assert sorted(by_act.gold.collect()) == sorted(plain.gold.collect())
+    questions = spark.createDataFrame([(0, "rti rule")], "qid int, question string")
+    asked = embed(questions, "question", dim=64)
+    hits = retrieve(asked, by_act.gold, k=1)
+    assert "dynamicpruning" in plan_of(hits)
+    assert sorted(hits.collect()) == sorted(retrieve(asked, plain.gold, k=1).collect())
+
+
 def test_nulls_are_refused_where_the_layer_forbids_them(spark, tmp_path):
     bad = spark.createDataFrame([("a", None, "t")], "act string, page int, text string")
     with pytest.raises(Exception, match="NULL in page"):
@@ -126,8 +140,6 @@ def test_rag_pipeline(spark, tmp_path):
 
 def test_experiment_log(spark, tmp_path):
     gold, asked = gold_and_questions(spark, tmp_path)
-    from tablecite.operators.search import retrieve
-
     hits = retrieve(asked, gold, k=5)
     grid = pipelines.grid_answers(hits, asked, [3, 5], margin=0.2)
     assert {r["k"]: len(r["sources"]) for r in grid.collect()} == {3: 3, 5: 4}
