@@ -35,9 +35,9 @@ from tablecite.llm.storage import PLACE, placed, written
 
 SIZE = 35
 #: Rows of a file that make a sender, hashes it holds before it sends, hashes meant for a bucket.
-ROWS = 512
+ROWS = 2048
 HELD = 1 << 20
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 RESULT = "doc_id {kind}, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start: int, end: int>>, kept string"
 
 
@@ -204,7 +204,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, texts: bool = True, rows_
     rows = at.select("doc_id", "text", F.xxhash64(f"{PLACE}.file", F.floor(F.col(f"{PLACE}.row") / rows_per_sender)).alias("sender"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, (total // 4).bit_length() + 11)
-    bucket_bits = (total // 6 // BUCKET).bit_length() + 4
+    bucket_bits = max(4, (total // 6 // BUCKET).bit_length())
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = RESULT.format(kind=kind)
 
