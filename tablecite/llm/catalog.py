@@ -121,15 +121,15 @@ _OP4 = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), starts AS (
-  SELECT doc_id, unnest(range(1, len(words) - 33)) AS at, words FROM docs WHERE len(words) >= 35
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM docs WHERE len(words) >= 35
 ), windows AS (
-  SELECT doc_id, at, md5(array_to_string(list_slice(words, at, at + 34), ' ')) AS hashed FROM starts
+  SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS hashed FROM starts
 ), repeated AS (
-  SELECT doc_id, at FROM windows WHERE hashed IN (SELECT hashed FROM windows GROUP BY hashed HAVING count(*) > 1)
+  SELECT doc_id, pos FROM windows WHERE hashed IN (SELECT hashed FROM windows GROUP BY hashed HAVING count(*) > 1)
 ), covered AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS at FROM repeated
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM repeated
 ), gone AS (
-  SELECT doc_id, list(at) AS gone FROM covered GROUP BY doc_id
+  SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(
