@@ -51,6 +51,8 @@ def registry(
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    # Else each of the stores, one per partition, reserves megabytes for its manifest.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
         session.conf.set(name, spark.conf.get(name))
@@ -76,9 +78,10 @@ def registry(
         .start()
     )
     stream.awaitTermination()
-    entries = spark.read.format("statestore").load(checkpoint)
+    entries = session.read.format("statestore").load(checkpoint)
     keep, size = (F.col(f"value.`{name}`") for name in entries.schema["value"].dataType.fieldNames())
-    return entries.select("key.digest", keep.alias("keep"), size.alias("group_size"))
+    table = entries.select("key.digest", keep.alias("keep"), size.alias("group_size"))
+    return written(table, "exact-registry", reader=spark)
 
 
 def collisions(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def exact_dedup(
 
     ``keep`` and ``group_size`` belong to the row's own text, also where a digest collides.
     """
-    state = written(registry(spark, folder, digest, files_per_batch), "exact-registry")
+    state = registry(spark, folder, digest, files_per_batch)
     text = folded(F.col("text"))
     rows = placed(spark.read.parquet(folder), ["doc_id", "text"], "exact").select(
         "doc_id", F.col(PLACE).alias("place"), digest(text).alias("digest"), text.alias("folded")

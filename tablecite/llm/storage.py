@@ -24,10 +24,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(
+    df: DataFrame, name: str, partition_by: str | None = None, reader: SparkSession | None = None
+) -> DataFrame:
     """The rows from a table: lineage ends here, and a lost executor costs no earlier step.
 
-    Shuffle files of the write are removed at its end, as nothing reads them again.
+    ``reader`` is the session of the result, if not that of ``df``. Shuffle files of the write are removed at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
@@ -39,7 +41,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         writer.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 def stored(docs: DataFrame, name: str) -> DataFrame:
