@@ -134,7 +134,7 @@ WITH docs AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(
          CASE WHEN gone IS NULL THEN words
-              ELSE list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)), i -> words[i])
+              ELSE [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(gone, i)]
          END, ' ')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (doc_id)
 """
