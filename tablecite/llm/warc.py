@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecite.llm.storage import scratch, written
@@ -50,24 +50,20 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL)), F.lit(""))
 
 
-def _originals(pages: DataFrame, archive: str) -> tuple[DataFrame, int]:
-    """Repeated payloads: (digest, first); and how many pages hold the archive's name."""
-    seen = Observation()
-    watched = pages.observe(seen, F.sum(F.instr("html", archive).cast("boolean").cast("long")).alias("n"))
-    large = watched.select("page_id", F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256)).alias("digest"))
+def _originals(pages: DataFrame) -> DataFrame:
+    """Repeated payloads: (digest, first)."""
+    large = pages.select("page_id", F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256)).alias("digest"))
     groups = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    kept = written(groups.filter("n > 1 and digest is not null").drop("n"), "warc-originals")
-    return kept, seen.get["n"] or 0
+    return written(groups.filter("n > 1 and digest is not null").drop("n"), "warc-originals")
 
 
 def write_warc(pages: DataFrame, path: str, chunk: int = CHUNK) -> str:
     """Writes ``pages`` (page_id, url, html) to ``path``; returns the name of the archive."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    while True:
+    archive = str(uuid4())
+    while not rows.filter(F.contains("html", F.lit(archive))).isEmpty():
         archive = str(uuid4())
-        originals, clashes = _originals(rows, archive)
-        if not clashes:
-            break
+    originals = _originals(rows)
     if originals.count() <= BROADCAST_ROWS:
         originals = F.broadcast(originals)
     known = F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256))

@@ -1,0 +1,343 @@
+"""Each operator against a plain version, and on nulls, empties, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tablecite.llm import bpe, catalog, exact_dedup, language_id, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, digest int, score string, ids string"
+DIGITS = "0123456789"
+
+
+def sentence(rng: random.Random, n: int, stem: str = "") -> str:
+    return " ".join(stem + "".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 6))) for _ in range(n)) + "."
+
+
+def edge_rows():
+    rng = random.Random(5)
+    passage = sentence(rng, 50)
+    rows = [
+        (0, None, None, None),
+        (1, "", "en", "a"),
+        (2, " \n\t ", "en", "a"),
+        (3, "One Two three", "en", "b"),
+        (4, "one two THREE", "de", None),
+        (4, "one two THREE", "de", None),
+        (None, "one two three", None, "b"),
+        (5, sentence(rng, 30) + " " + passage + " " + sentence(rng, 9), "en", "a"),
+        (6, passage + "\n" + sentence(rng, 40), "de", "b"),
+        (7, "same " * 90, "de", "b"),
+        (8, "x" * 300_000, "en", "a"),
+        (9, sentence(rng, 40_000), "en", "a"),
+        (10, "12345 !!! ###", "en", None),
+        (11, "É ÀÉ mail a.b@c.de +1 (212) 555-0123 1.2.3.4 4111 1111 1111 1111", "fr", "b"),
+    ]
+    return [(i, t, lang, source, 1, "clash", 7, "clash", "clash") for i, t, lang, source in rows]
+
+
+def saved(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(f"{path}/documents.parquet")
+    labels = [(r[0], i % 2) for i, r in enumerate(rows)] + [(5, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    pages = [(r[0], None if i % 3 == 0 else f"http://x/{i} y", r[1]) for i, r in enumerate(rows)]
+    pages += [(100, "u", "p" * 2000), (101, "u", "p" * 2000)] if rows else []
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def edge(spark, tmp_path_factory):
+    return saved(spark, tmp_path_factory.mktemp("edge"), edge_rows())
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return saved(spark, tmp_path_factory.mktemp("empty"), [])
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return [(r[0], r[1] or "") for r in edge_rows()]
+
+
+@pytest.mark.parametrize("name", [*catalog.registry(), "pipeline"])
+def test_no_rows_in_no_rows_out(spark, empty, name):
+    query = corpus_pipeline.run if name == "pipeline" else catalog.registry()[name]
+    assert query(spark, empty).count() == 0
+
+
+def test_exact_groups(spark, edge, texts):
+    rows = catalog.op1_exact_dedup(spark, edge).collect()
+    assert len(rows) == len(texts)
+    groups = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in rows}
+    assert groups[hashlib.sha256(b"one two three").hexdigest()] == (4, 4)
+    assert groups[hashlib.sha256(b"").hexdigest()] == (1, 2)
+    assert Counter(r["text_sha256"] for r in rows if r["kept"]) == Counter(groups.keys())
+
+
+def test_colliding_digests_are_told_apart_by_their_bytes(spark, edge):
+    def weak(text):
+        return F.encode((F.char_length(text) % 2).cast("string"), "UTF-8")
+
+    rows = exact_dedup.exact_dedup(spark, f"{edge}/documents.parquet", digest=weak, files_per_batch=1)
+    want = exact_dedup.exact_dedup(spark, f"{edge}/documents.parquet")
+    columns = ["doc_id", "keep", "group_size"]
+    assert sorted(map(str, rows.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_languages_are_learned_and_letterless_texts_are_not_guessed(spark, edge):
+    rows = {r["doc_id"]: r for r in catalog.op2_language_id(spark, edge).collect()}
+    assert [rows[i]["lang_pred"] for i in (0, 1, 2, 10)] == ["und"] * 4 and rows[0]["score"] == 0
+    assert rows[8]["lang_pred"] != "und" and 0 <= rows[8]["score"] <= 1
+    rng = random.Random(1)
+    docs = [(i, sentence(rng, 20, "sch" if i % 2 else "ou"), "de" if i % 2 else "fr") for i in range(300)]
+    found = language_id.language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    kinds = {i: lang for i, _, lang in docs}
+    assert all(r["lang_pred"] == kinds[r["doc_id"]] for r in found.filter("held_out").collect())
+
+
+@pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK, bpe.OVERLAP), (50, 16)])
+def test_tokens_equal_those_of_the_library(spark, edge, texts, chunk, overlap):
+    tokens = bpe.read_ranks(catalog.TOKENS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    # The longest text is one word; its merges are slow in the library itself.
+    hard = [(i, t) for i, t in texts if i != 8 and (chunk > 50 or i != 9)] + [(20, "a  b\n\n\nc 's'r'" * 40), (21, "é" * 500 + " don't 🙂 " * 30)]
+    docs = spark.createDataFrame(hard, "doc_id long, text string")
+    rows = bpe.decode(bpe.encode(docs, tokens, catalog.PATTERN, chunk=chunk, overlap=overlap), tokens).collect()
+    want = Counter((t, tuple(own.encode_ordinary(t))) for _, t in hard)
+    assert Counter((r["text"], tuple(r["ids"])) for r in rows) == want
+    assert all(bytes(r["decoded"]).decode() == r["text"] for r in rows)
+    digests = bpe.round_trip(docs, tokens, catalog.PATTERN, chunk=chunk, overlap=overlap).collect()
+    assert {(r["text"], r["ids_sha256"]) for r in digests} == {
+        (t, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for t, ids in want
+    }
+
+
+def test_repeated_windows(spark, edge, texts):
+    split = [(i, WORDS.findall(t)) for i, t in texts]
+    count = Counter(tuple(w[i : i + 35]) for _, w in split for i in range(len(w) - 34))
+    want = Counter()
+    for i, w in split:
+        keep = [True] * len(w)
+        for at in range(len(w) - 34):
+            if count[tuple(w[at : at + 35])] > 1:
+                keep[at : at + 35] = [False] * 35
+        kept = " ".join(x for x, k in zip(w, keep) if k)
+        want[i, len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    rows = catalog.op4_substring_dedup(spark, edge).collect()
+    assert Counter(map(tuple, rows)) == want and any(r["n_removed"] == 50 for r in rows)
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    spans = substring_dedup.substring_dedup(docs, rows_per_sender=2).filter("doc_id = 5").first()
+    assert [tuple(s) for s in spans["repeats"]] == [(30, 80)] and len(WORDS.findall(spans["kept"])) == 39
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+
+
+def base_spans(text: str) -> list[str]:
+    found = []
+    for kind, pattern in {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }.items():
+        for m in re.finditer(pattern, text):
+            digits = "".join(c for c in m.group() if c in DIGITS)
+            good = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m.group().split(".") if kind == "ip"),
+                "card": 16 <= len(digits) <= 19 and luhn(digits or "0"),
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            found += [f"{kind}:{m.start()}:{m.end()}"] if good else []
+    return found
+
+
+def test_base_spans_stay_and_others_are_added(spark, edge, texts):
+    hard = [
+        *texts[:8],
+        (30, "a@b.c@d.e a@b.c_d@e.f x@y..z é🙂 q@w.co 1.2.3.4.5.6.7.8 999.1.1.1 255.0255.1.1"),
+        (31, "4111 1111 1111 1111 4111-1111-1111-1111-5 +49 30 1234567 +1+2 (3) 4567890 +123"),
+        (32, "9" * 20_000),
+        (33, "1 " * 9000 + "+" * 50),
+        (34, "call (212) 555-1234 now, ssn 123-45-6789, Dr. Mary Smith, bob [at] site [dot] com"),
+        (35, "mail jo.do@site.com or phone +1 (212) 555-0123"),
+    ]
+    docs = spark.createDataFrame(hard, "doc_id long, text string")
+    rows = catalog.pii.summary(pii.find_pii(docs)).collect()
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in rows) == Counter(
+        (i, hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()) for i, t in hard
+    )
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    assert all(set(base_spans(t)) <= set(filter(None, spans[i].split(","))) for i, t in hard)
+    assert spans[34] and spans[32] == ""
+
+
+def test_em_trusts_the_labeler_that_agrees_with_the_base():
+    def row(base, form, around, n):
+        return {"kind": 3, "base": base, "form": form, "listed": -1, "around": around, "length": 8, "n": n}
+
+    patterns = [row(True, 1, 1, 500), row(False, 0, 0, 500), row(False, 1, 1, 20), row(False, 0, 1, 5)]
+    p = pii.reliabilities(patterns)
+    assert p[0] == 1 and p[2] > 0.9 and p[1] < 0.1
+    weights = pii.classifier(patterns, p)
+    assert sum(weights[f] for f in pii._features(patterns[2])) > 0 > sum(weights[f] for f in pii._features(patterns[1]))
+
+
+def test_toxicity_of_unseen_spellings(spark, edge):
+    scores = {r["doc_id"]: r for r in catalog.op6_toxicity(spark, edge).collect()}
+    assert scores[1]["score"] == 0 and scores[0]["predicted"] == 0
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(500):
+        toxic = i % 5 == 0
+        words = sentence(rng, rng.randint(5, 200)).split()
+        if toxic:
+            words.insert(rng.randrange(len(words)), "blarg" + rng.choice("abcdeéß") + rng.choice("xyz"))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    found = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(r["predicted"], int(r["doc_id"] % 5 == 0)) for r in found.filter("held_out").collect()]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize("block", [4, 8192])
+def test_the_mix_meets_its_targets(spark, block):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.randint(0, 40)) for i in range(600)] + [(7, "a", 3)] * 3
+    units = spark.createDataFrame(rows, "unit long, source string, size long")
+    got = mixing.cube_mix(units, block=block).collect()
+    again = mixing.cube_mix(units.repartition(7), block=block).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        mine = [r for r in got if r["source"] == source]
+        assert max(r["copies"] for r in mine) <= 2
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 41
+
+
+def test_targets_are_capped_and_reshared():
+    assert mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
+    assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
+
+
+def test_flight_keeps_both_totals():
+    draws, rng = np.random.default_rng(1), random.Random(1)
+    size, p = [rng.randint(1, 90) for _ in range(200)], [rng.random() for _ in range(200)]
+    out = mixing.flight(size, p, draws, land=False)
+    assert sum(0 < x < 1 for x in out) <= 2
+    assert abs(sum(out) - sum(p)) < 1e-6 and abs(np.dot(size, out) - np.dot(size, p)) < 1e-6
+
+
+def test_mixed_rows_keep_their_columns(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def slow_fingerprint(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints(spark, edge, texts):
+    rows = catalog.op8_simhash(spark, edge).collect()
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in rows) == Counter((i, f"{slow_fingerprint(t):016x}") for i, t in texts)
+    assert {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {0}
+    assert {r["component_id"] for r in rows if r["doc_id"] in (3, 4, None)} == {3}
+
+
+@pytest.mark.parametrize("small", [2, simhash.SMALL])
+def test_links_connect_what_brute_force_connects(small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(7)
+    fp = np.unique(np.concatenate([rng.integers(0, 2**16, 400, np.uint64), rng.integers(0, 2**63, 50, np.uint64)]))
+    table = np.stack([np.bitwise_count(fp ^ np.uint64(p)) for p in simhash.PIVOTS], 1).astype(np.int8)
+    i, j = np.triu_indices(len(fp), 1)
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= simhash.DISTANCE
+    want = simhash.roots(len(fp), i[near], j[near])
+    moved, root = simhash.link(np.zeros(len(fp), int), fp, table)
+    # With small groups the loop over shifts would miss pairs; one bucket is large here.
+    got = np.arange(len(fp))
+    got[moved] = root
+    assert (got == want).all()
+
+
+def test_blocks_leave_no_pair_out():
+    rng, masks = random.Random(9), simhash.masks()
+    for _ in range(2000):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), simhash.DISTANCE):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in masks)
+
+
+@pytest.mark.parametrize("chunk", [warc.CHUNK, 700])
+def test_archives_read_back(spark, edge, chunk):
+    pages = spark.read.parquet(f"{edge}/pages.parquet")
+    rows = warc.archive_round_trip(pages, chunk).collect()
+    want = Counter((r["page_id"], len((r["html"] or "").encode()), hashlib.sha1((r["html"] or "").encode()).hexdigest()) for r in pages.collect())
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in rows) == want
+    revisits = [(r["page_id"], r["refers_to"]) for r in rows if r["record_type"] == "revisit"]
+    assert revisits == [(100, 101)]
+
+
+def slow_quality(text: str) -> tuple:
+    words = WORDS.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    count = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if count[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
+
+
+def test_quality_counts(spark, edge, texts):
+    rng = random.Random(8)
+    more = [(40 + i, "".join(rng.choice("ab \n#é.") for _ in range(400))) for i in range(30)]
+    docs = spark.createDataFrame([*texts, *more], "doc_id long, text string")
+    rows = quality.clean_lines(docs).select("doc_id", "__quality.*").collect()
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+    got = Counter((r["doc_id"], *(r[n] for n in names)) for r in rows)
+    assert got == Counter((i, *slow_quality(t)) for i, t in [*texts, *more])
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
+
+
+def test_bad_lines_go_and_mostly_bad_documents_with_them(spark):
+    rng = random.Random(4)
+    good = "\n".join(sentence(rng, 30) for _ in range(3))
+    menu = "Home | News | About | Contact\nPrivacy policy and more words here.\nLogin"
+    docs = [(0, good), (1, f"{menu}\n{good}"), (2, "\n".join(f"{x} | {y} | {x} | {y}{x}" for x, y in zip(range(40), range(40, 80))))]
+    rows = {r["doc_id"]: r["__quality"] for r in quality.clean_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[0]["text"] == rows[1]["text"] == good and rows[0]["kept"] and rows[1]["kept"] and not rows[2]["kept"]
+
+
+def test_pipeline_keeps_one_of_each(spark, edge):
+    docs, kept = spark.read.parquet(f"{edge}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, edge), "test")
+        assert docs.columns == spark.read.parquet(f"{edge}/documents.parquet").columns
+        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    assert kept[0] >= {5, 6, 9} and 7 not in kept[0] and kept[2] == kept[1]
+    assert set(corpus_pipeline.tokens(spark, docs, edge).columns) == {"doc_id", "source", "lang", "n_tokens", "ids"}
