@@ -32,6 +32,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 _JAVA_CLASS = {
+    "S": "[^" + WS[1:],
+    "D": r"\P{Nd}",
+    "W": r"[^\p{L}\p{N}_]",
+    "B": r"(?:(?<=[\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?![\p{L}\p{N}_]))",
     "s": WS,
     "d": r"\p{Nd}",
     "w": r"[\p{L}\p{N}_]",
@@ -40,7 +44,7 @@ _JAVA_CLASS = {
 
 
 def java_regex(pattern: str) -> str:
-    """Give ``\\s``, ``\\d``, ``\\w`` and ``\\b`` their Unicode meaning, on any Java version."""
+    """Give ``\\s``, ``\\d``, ``\\w``, ``\\b`` and their opposites their Unicode meaning, on any Java version."""
     return re.sub(r"\\(.)", lambda m: _JAVA_CLASS.get(m[1], m[0]), pattern, flags=re.DOTALL)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecite.functions.text import strip, words
+from tablecite.functions.text import let, strip, words
 
 
 def ingest_pages(pages: DataFrame, text_col: str = "text", min_chars: int = 50) -> DataFrame:
@@ -29,27 +29,31 @@ def chunk_words(
     filter; the last may lie wholly inside the one before it. Texts that are
     NULL or blank give no rows.
 
-    The generator runs over the window *starts* and the outer form is used, so
-    that Catalyst has no inferred ``size(...) > 0`` filter to push below the
-    word split; each text is split exactly once.
+    A text is split once, inside one expression that builds, filters and emits
+    its windows: no row after it carries the words, so the work stays linear in
+    the length of a text whatever follows.
     """
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than size")
     rest = [c for c in df.columns if c != text_col]
-    n = F.size("_words")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
-    windows = (
-        df.select(*rest, words(F.col(text_col)).alias("_words"))
-        .select(*rest, "_words", F.posexplode_outer(starts).alias("chunk_ix", "_start"))
-        .select(
-            *rest,
-            "chunk_ix",
-            F.array_join(F.slice("_words", F.col("_start") + 1, F.lit(size)), " ").alias("chunk"),
-        )
-    )
-    length = F.length("chunk")
-    return windows.where(length >= min_chars if inclusive else length > min_chars)
+
+    def windows(ws: Column) -> Column:
+        def window(i: Column) -> Column:
+            chunk = F.array_join(F.slice(ws, i * step + 1, F.lit(size)), " ")
+            return F.struct(i.cast("int").alias("chunk_ix"), chunk.alias("chunk"))
+
+        def long_enough(w: Column) -> Column:
+            length = F.length(w["chunk"])
+            return length >= min_chars if inclusive else length > min_chars
+
+        n = F.size(ws)
+        starts = F.sequence(F.lit(0), F.floor((n - 1) / F.lit(step)).cast("int"))
+        return F.when(n > 0, F.filter(F.transform(starts, window), long_enough))
+
+    # The outer form keeps Catalyst from adding a filter that splits the text again.
+    emitted = df.select(*rest, F.inline_outer(let(words(F.col(text_col)), windows)))
+    return emitted.where(F.col("chunk_ix").isNotNull())
 
 
 def counts_by(df: DataFrame, *cols: str) -> DataFrame:

@@ -3,9 +3,9 @@
 ``knn`` (dense vectors, squared L2) and ``cosine_topk`` (sparse features) share
 one plan. When the questions fit a byte budget, which is measured first, they
 are broadcast and the corpus is read once in place: no corpus row is shuffled,
-and each task emits at most k rows per question. Past the budget the question x
-corpus matrix is cut into a grid of blocks of bounded size, and every cell is
-one small co-group. Either way ``row_number() <= k`` picks the final hits, and
+and each task emits at most k rows per question and batch. Past the budget the
+questions are stored and cut into slices that fit, and the corpus is read in
+place once per slice. Either way ``row_number() <= k`` picks the final hits, and
 Catalyst adds its partial group limit in front of that shuffle.
 
 Only keys and vectors take part. Text comes back later, through ``attach``.
@@ -23,6 +23,7 @@ from tablecite.functions.columns import names
 from tablecite.functions.scoring import hit_label, relevance
 from tablecite.functions.text import preview
 from tablecite.operators.topk import Contenders, DenseL2, SparseCosine
+from tablecite.sources.tables import scratch_path
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
@@ -96,7 +97,7 @@ def _topk(
     clash = set(qkeys) & set(keys)
     if clash:
         raise ValueError(f"question and corpus keys share names: {sorted(clash)}")
-    if strategy not in ("auto", "broadcast", "grid"):
+    if strategy not in ("auto", "slices"):
         raise ValueError(f"unknown strategy {strategy!r}")
     qs = questions.select(*qkeys, F.col(qvec).alias("_v"))
     cs = corpus.select(*keys, F.col(vec).alias("_v"))
@@ -105,34 +106,60 @@ def _topk(
         + [corpus.schema[c] for c in keys]
         + [T.StructField("_cost", T.DoubleType())]
     )
-    partial = None
-    if strategy != "grid":
-        fits, size = _fits(qs, qkeys, weight, broadcast_bytes)
-        if fits:
-            partial = _broadcast(qs, cs, qkeys, keys, k, metric, schema, broadcast_bytes)
-        if partial is None and strategy == "broadcast":
-            raise ValueError(f"{size.rows} questions exceed the budget of {broadcast_bytes} bytes")
-    if partial is None:
-        size = _measure(qs, qkeys, weight.exact)
-        partial = _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema)
-    by_cost = Window.partitionBy(*qkeys).orderBy("_cost", *keys)
-    hits = partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
-    return hits, size
-
-
-def _broadcast(qs, cs, qkeys, keys, k, metric, schema, budget) -> DataFrame | None:
-    questions = qs.toArrow().combine_chunks()
-    if questions.nbytes > 2 * budget:  # vectors longer than the bound assumed
-        return None
-    shared = cs.sparkSession.sparkContext.broadcast(questions)
+
+    def ranked(partial: DataFrame) -> DataFrame:
+        by_cost = Window.partitionBy(*qkeys).orderBy("_cost", *keys)
+        return partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
+
+    budget = block_bytes if strategy == "slices" else broadcast_bytes
+    fits, size = _fits(qs, qkeys, weight, budget)
+    if fits:
+        asked = qs.toArrow().combine_chunks()
+        if asked.nbytes <= 2 * budget:  # else vectors are longer than the bound assumed
+            partial, _ = _broadcast(asked, cs, qkeys, keys, k, metric, schema)
+            return ranked(partial), size
+    return _sliced(qs, cs, qkeys, keys, k, metric, weight, budget, schema, ranked)
+
+
+def _sliced(qs, cs, qkeys, keys, k, metric, weight, budget, schema, ranked) -> tuple[DataFrame, SideSize]:
+    """One scan of the corpus in place per slice of the questions; no corpus row is shuffled.
+
+    Question vectors are stored first, so that each is made once. The driver holds one slice at
+    a time, and a slice's hits are final, as a question lies in one slice alone.
+    """
+    spark = cs.sparkSession
+    path = scratch_path(spark, "knn-questions")
+    qs.write.parquet(path)
+    qs = spark.read.schema(qs.schema).parquet(path)
+    size = _measure(qs, qkeys, weight.exact)
+    n = max(1, -(-size.bytes // budget))
+    found = scratch_path(spark, "knn-hits")
+    for i in range(n):
+        asked = qs.where(F.pmod(F.xxhash64(*qkeys), F.lit(n)) == i).toArrow().combine_chunks()
+        partial, shared = _broadcast(asked, cs, qkeys, keys, k, metric, schema)
+        hits = ranked(partial)
+        hits.write.mode("append").parquet(found)
+        shared.destroy()
+    return spark.read.schema(hits.schema).parquet(found), size
+
+
+def _broadcast(asked: pa.Table, cs, qkeys, keys, k, metric, schema):
+    """Contenders among the corpus rows of each task, and the broadcast they need."""
+    shared = cs.sparkSession.sparkContext.broadcast(_with_vector(asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         contenders = Contenders(metric(asked["_v"]), k)
         for batch in batches:
-            yield from _pairs(contenders, asked, pa.Table.from_batches([batch]), qkeys, keys)
+            yield from _pairs(contenders, asked, _with_vector(pa.Table.from_batches([batch])), qkeys, keys)
+
+    return cs.mapInArrow(scan, schema), shared
+
 
-    return cs.mapInArrow(scan, schema)
+def _with_vector(rows: pa.Table) -> pa.Table:
+    """Rows without a vector are no neighbours and have none. Dropped here, as a
+    filter in the plan would run an embedder once more."""
+    return rows.filter(rows["_v"].is_valid()).combine_chunks() if rows["_v"].null_count else rows
 
 
 def _pairs(contenders, asked: pa.Table, rows: pa.Table, qkeys, keys) -> Iterator[pa.RecordBatch]:
@@ -142,42 +169,6 @@ def _pairs(contenders, asked: pa.Table, rows: pa.Table, qkeys, keys) -> Iterator
         yield from pa.table({**columns, "_cost": cost}).combine_chunks().to_batches()
 
 
-def _grid(qs, cs, qkeys, keys, k, metric, weight, size, block_bytes, schema) -> DataFrame:
-    """Cut both sides into hashed blocks and pair every two blocks once.
-
-    Block numbers hash the row key, so copies of one vector spread evenly and a
-    re-run task rebuilds the same blocks. Each side is sent once per block of
-    the other side.
-    """
-    if weight.bound is None:
-        corpus_bytes = _measure(cs, keys, weight.exact).bytes
-    else:  # all vectors are as long as the questions': counting rows is enough
-        corpus_bytes = _measure(cs, keys, "0").rows * -(-size.bytes // max(1, size.rows))
-    nq = max(1, -(-size.bytes // block_bytes))
-    nc = max(1, -(-corpus_bytes // block_bytes))
-
-    def blocks(df: DataFrame, key: list[str], own: str, n: int, other: str, m: int) -> DataFrame:
-        number = F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return df.select("*", number.alias(own), copies.alias(other))
-
-    left = blocks(qs, qkeys, "_qb", nq, "_cb", nc)
-    right = blocks(cs, keys, "_cb", nc, "_qb", nq)
-
-    def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        fields = [*asked.select(qkeys).schema, *rows.select(keys).schema, pa.field("_cost", pa.float64())]
-        found = []
-        if len(asked) and len(rows):
-            contenders = Contenders(metric(asked["_v"]), k)
-            for batch in rows.to_batches(max_chunksize=16_384):
-                found += _pairs(contenders, asked, pa.Table.from_batches([batch]), qkeys, keys)
-        return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
-
-    return (
-        left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(cell, schema)
-    )
-
-
 def knn(
     questions: DataFrame,
     corpus: DataFrame,

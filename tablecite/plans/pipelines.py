@@ -187,11 +187,15 @@ def grid_answers(
     one = F.struct("rank", F.col(text_col).alias("text"), "act", "score", "sents", "near")
     ranked = F.sort_array(F.collect_list(one)).alias("_hits")
     grouped = search.k_grid(kept, ks).groupBy(*names(qid), "k").agg(ranked)
+    # Questions without hits count too: they have an empty answer and no sources.
+    asked = questions.select(*names(qid), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    none = F.array().cast(grouped.schema["_hits"].dataType)
+    full = asked.join(grouped, [*names(qid), "k"], "left").withColumn("_hits", F.coalesce("_hits", none))
     used = F.filter("_hits", lambda h: h["near"])
-    return grouped.select(
+    return full.select(
         *names(qid),
         "k",
-        let(used, answer_text).alias("answer"),
+        F.coalesce(let(used, answer_text), F.lit("")).alias("answer"),
         F.transform("_hits", lambda h: h.dropFields("sents", "near")).alias("sources"),
     )
 

@@ -109,11 +109,11 @@ def clean_size_report(spark, sf):
 
 
 def knn_topk(spark, sf):
-    return _vector_hits(spark, sf, strategy="broadcast")
+    return _vector_hits(spark, sf)
 
 
 def knn_blocks(spark, sf):
-    return _vector_hits(spark, sf, strategy="grid")
+    return _vector_hits(spark, sf, strategy="slices", block_bytes=1 << 18)
 
 
 def knn_margin(spark, sf):

@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 BRONZE = T.StructType(
     [
         T.StructField("act", T.StringType(), False),
-        T.StructField("page", T.IntegerType(), False),
+        T.StructField("page", T.LongType(), False),
         T.StructField("text", T.StringType(), False),
     ]
 )
 SILVER = T.StructType(
     [
         T.StructField("act", T.StringType(), False),
-        T.StructField("page", T.IntegerType(), False),
+        T.StructField("page", T.LongType(), False),
         T.StructField("chunk_ix", T.IntegerType(), False),
         T.StructField("chunk", T.StringType(), False),
     ]

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as contract
+from tablecite.plans import queries as catalog
 from tests.plans import plan_of
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.registry()))
 def test_plan(spark, name):
-    plan = plan_of(contract.queries()[name](spark, SF))
+    plan = plan_of(catalog.registry()[name](spark, SF))
     assert not [word for word in FORBIDDEN if word in plan]
     assert plan.count("ArrowEvalPython") <= 2

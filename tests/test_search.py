@@ -44,7 +44,7 @@ def test_scores_are_squared_and_ties_go_to_the_smaller_key(spark):
     assert got == [(0, 3, 1.0, 1), (0, 4, 1.0, 2), (0, 5, 25.0, 3)]
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+@pytest.mark.parametrize("strategy", ["auto", "slices"])
 @pytest.mark.parametrize("scale", [1.0, 40.0])
 def test_knn_equals_brute_force(spark, strategy, scale):
     rng = np.random.default_rng(3)
@@ -57,7 +57,7 @@ def test_knn_equals_brute_force(spark, strategy, scale):
     same(ranked(hits), brute_force(q, x, 10))
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+@pytest.mark.parametrize("strategy", ["auto", "slices"])
 def test_a_corpus_of_mostly_copies_stays_exact(spark, strategy):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 8)).astype(np.float32)
@@ -80,15 +80,26 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert [r[3] for r in results[0]] == list(range(1, 6)) * 9
 
 
-def test_questions_over_budget_take_the_grid(spark):
+def test_questions_over_budget_are_sliced(spark, monkeypatch):
     rng = np.random.default_rng(6)
     q, x = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(90, 4)).astype(np.float32)
     asked, corpus = frames(spark, q, x)
-    hits = search.knn(asked, corpus, 3, "qid", "key", broadcast_bytes=500, block_bytes=600)
-    assert "FlatMapCoGroupsInArrow" in plan_of(hits)
+    plans, own = [], search._broadcast
+
+    def seen(*args):
+        plans.append(plan_of(own(*args)[0]))
+        return own(*args)
+
+    monkeypatch.setattr(search, "_broadcast", seen)
+    hits = search.knn(asked, corpus, 3, "qid", "key", broadcast_bytes=500)
+    assert len(plans) > 1 and all("Exchange" not in plan for plan in plans)
     same(ranked(hits), brute_force(q, x, 3))
-    with pytest.raises(ValueError, match="budget"):
-        search.knn(asked, corpus, 3, "qid", "key", strategy="broadcast", broadcast_bytes=500)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    asked = points(spark, [(0, [0.0, 0.0]), (1, None)], "qid")
+    corpus = points(spark, [(5, [3.0, 4.0]), (4, None)], "key")
+    assert ranked(search.knn(asked, corpus, 10, "qid", "key")) == [(0, 5, 25.0, 1)]
 
 
 def test_plan_reads_the_corpus_in_place(spark):
@@ -112,7 +123,7 @@ def test_bad_input_is_refused(spark):
 
 def test_no_questions_and_no_corpus_give_no_hits(spark):
     asked, corpus = frames(spark, np.zeros((2, 2)), np.zeros((4, 2)))
-    for strategy in ("broadcast", "grid"):
+    for strategy in ("auto", "slices"):
         none_asked = search.knn(asked.where("qid < 0"), corpus, 2, "qid", "key", strategy=strategy)
         nothing_there = search.knn(asked, corpus.where("key < 0"), 2, "qid", "key", strategy=strategy)
         assert none_asked.count() == 0 and nothing_there.count() == 0
@@ -202,7 +213,7 @@ def corpus_texts(spark):
     return docs, spark.createDataFrame(list(enumerate(asked)), "qid int, question string")
 
 
-@pytest.mark.parametrize("plan", [{}, {"strategy": "grid", "block_bytes": 3000}])
+@pytest.mark.parametrize("plan", [{}, {"strategy": "slices", "block_bytes": 3000}])
 def test_tfidf_topk_equals_dense_cosine(spark, plan):
     docs, asked = corpus_texts(spark)
     model = tfidf.fit_tfidf(docs, n_features=64)
