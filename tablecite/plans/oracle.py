@@ -5,6 +5,7 @@ Statements share common table expressions; each one lists those it needs.
 
 from __future__ import annotations
 
+from tablecite.operators.clean import CUE_REGEX, NOISE, TITLES
 from tablecite.operators.prompt import APP, NOTEBOOK, Template
 
 _Q = "conv_id, turn"
@@ -33,11 +34,11 @@ def _sentences(expr: str) -> str:
     return f"list_filter(string_split({marked}, chr(1)), lambda x: length(x) > 40)"
 
 
-def _windows(act: str, test: str) -> str:
+def _windows(act: str, test: str, source: str = "documents", page: str = "doc_id") -> str:
     return f"""
     SELECT act, page, (s // 448)::INT AS chunk_ix, array_to_string(w[s + 1 : s + 512], ' ') AS chunk
     FROM (SELECT act, page, w, unnest(range(0, len(w), 448)) AS s
-          FROM (SELECT {act} AS act, doc_id AS page, {_words("text")} AS w FROM documents))
+          FROM (SELECT {act} AS act, {page} AS page, {_words("text")} AS w FROM {source}))
     WHERE length(array_to_string(w[s + 1 : s + 512], ' ')) {test}"""
 
 
@@ -150,28 +151,31 @@ GRID_HITS = """
     near AS (SELECT * FROM grid WHERE score <= best + 0.1)"""
 
 
-def _share(keys: str, answers: str, sources: str) -> str:
+def _share(keys: str, asked: str, answers: str, sources: str) -> str:
+    """Every question counts, also without an answer or a source."""
     return f"""
-    SELECT {keys}, sum(contains(lower(answer), lower(act))::INT) / greatest(count(act), 1) AS share
-    FROM {answers} JOIN {sources} USING ({keys}) GROUP BY {keys}"""
+    SELECT {keys}, coalesce(sum(contains(lower(answer), lower(act))::INT), 0) / greatest(count(act), 1) AS share,
+           count(act) AS n_sources
+    FROM {asked} LEFT JOIN {answers} USING ({keys}) LEFT JOIN {sources} USING ({keys}) GROUP BY {keys}"""
 
 
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def _prompts(template: Template) -> str:
+def _prompts(template: Template, keys: str = _Q, asked: str = "asked", hits: str = "hits") -> str:
     return f"""
+    contexts AS (
+      SELECT {keys}, string_agg('[From ' || upper(act) || ']: ' || chunk, chr(10) || chr(10) ORDER BY rank) AS context,
+             string_agg(act, ',' ORDER BY rank) AS acts,
+             string_agg('  - ' || upper(act) || ' (score: ' || format('{{:.2f}}', score) || ')',
+                        chr(10) ORDER BY rank) AS shown
+      FROM {hits} GROUP BY {keys}),
     prompts AS (
-      SELECT {_Q}, {_quote(template.header)} || 'Legal Context:' || chr(10) || context
+      SELECT {keys}, {_quote(template.header)} || 'Legal Context:' || chr(10) || coalesce(context, '')
              || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10)
-             || {_quote(template.cue)} AS prompt, acts, shown
-      FROM (SELECT {_Q}, string_agg('[From ' || upper(act) || ']: ' || chunk, chr(10) || chr(10)
-                                    ORDER BY rank) AS context,
-                   string_agg(act, ',' ORDER BY rank) AS acts,
-                   string_agg('  - ' || upper(act) || ' (score: ' || format('{{:.2f}}', score) || ')',
-                              chr(10) ORDER BY rank) AS shown
-            FROM hits GROUP BY {_Q}) JOIN asked USING ({_Q}))"""
+             || {_quote(template.cue)} AS prompt, coalesce(acts, '') AS acts, coalesce(shown, '') AS shown
+      FROM {asked} LEFT JOIN contexts USING ({keys}))"""
 
 
 # TF-IDF ----------------------------------------------------------------------
@@ -241,19 +245,44 @@ TFIDF_HITS = f"""
 # Cleaning --------------------------------------------------------------------
 
 
-def _clean(act: str) -> str:
-    noise = "(?i)^(The and attion|En laleen|Nicht aulich|And ornd|Ietzte\\.$|Of\\.$)"
-    cue = r"^(The|Die|Les|Los|And)\s"
+OWN_NOISE = "^(The and attion|En laleen|Nicht aulich|And ornd|Ietzte\\.$|Of\\.$)"
+OWN_CUE = r"^(The|Die|Les|Los|And)\s"
+
+
+def _clean(docs: str, noise: str = OWN_NOISE, cue: str = OWN_CUE, titles: tuple[str, ...] = ()) -> str:
+    named = "".join(f" OR (length(l) < 120 AND contains(upper(l), {_quote(t)}))" for t in titles)
     return f"""
     cleaned AS (
       SELECT act, page, text, coalesce(array_to_string(list_filter(
-               ls[greatest(coalesce(list_position(list_transform(ls, lambda l: regexp_matches(l, '{cue}')),
+               ls[greatest(coalesce(list_position(list_transform(ls, lambda l: regexp_matches(l, '{cue}'){named}),
                                                   true), 0), 1) :],
-               lambda l: length(l) >= 4 AND NOT regexp_matches(l, '{noise}')), chr(10)), '') AS cleaned
-      FROM (SELECT {act} AS act, doc_id AS page, text,
+               lambda l: length(l) >= 4 AND NOT regexp_matches(l, '(?i){noise}')), chr(10)), '') AS cleaned
+      FROM (SELECT act, page, text,
                    list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'),
                                   lambda l: {_strip("l")}) AS ls
-            FROM documents))"""
+            FROM {docs}))"""
+
+
+def _by(act: str) -> str:
+    return f"(SELECT {act} AS act, doc_id AS page, text FROM documents)"
+
+
+def _furnished(furniture: list[str], starts: list[str]) -> str:
+    def pick(lines: list[str], i: str) -> str:
+        return f"[{', '.join(map(_quote, lines))}][{i} % {len(lines)} + 1]"
+
+    return f"""
+    furnished AS (
+      SELECT lang AS act, doc_id AS page, concat_ws(chr(10), {pick(furniture, "doc_id")}, 'About this site',
+             {pick(starts, "doc_id")}, {pick(furniture, "(doc_id + 17)")}, text,
+             '  ' || lower({pick(furniture, "(doc_id + 31)")}) || ' ' || chr(10) || '- 4') AS text
+      FROM documents),
+    {_clean("furnished", "|".join(f"(?:{p})" for p in NOISE), CUE_REGEX, TITLES)}"""
+
+
+#: Lines for the default rules: each noise rule as a line that it matches, and lines that start a body.
+FURNITURE = [p.replace("\\d+", "12").replace("\\[", "[").replace("\\s*", "").strip("^$") for p in NOISE]
+STARTS = ["Section  7 applies", "CHAPTER", "PART IV", "3. The rest", *(f"{t.title()} as in force" for t in TITLES)]
 
 
 def statements() -> dict[str, str]:
@@ -267,9 +296,9 @@ def statements() -> dict[str, str]:
     s["corpus_stats"] = """
       SELECT count(embedding) AS vectors, min(len(embedding))::INT AS min_dim,
              max(len(embedding))::INT AS max_dim FROM embeddings"""
-    s["clean_lines"] = f"WITH {_clean('lang')} SELECT act, page, cleaned AS text FROM cleaned"
+    s["clean_lines"] = f"WITH {_clean(_by('lang'))} SELECT act, page, cleaned AS text FROM cleaned"
     s["clean_size_report"] = f"""
-      WITH {_clean("source")}
+      WITH {_clean(_by("source"))}
       SELECT act, (sum(strlen(text)) // 1024)::BIGINT AS kb_before,
              (sum(strlen(cleaned)) // 1024)::BIGINT AS kb_after FROM cleaned GROUP BY act"""
 
@@ -369,9 +398,11 @@ def statements() -> dict[str, str]:
 
     s["faithfulness"] = f"""{_with_hits(5)},
       replies AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant')
-      SELECT round(avg(share), 3) AS faithfulness FROM ({_share(_Q, "replies", "hits")})"""
+      SELECT round(avg(share), 3) AS faithfulness
+      FROM ({_share(_Q, "(SELECT conv_id, turn FROM replies)", "replies", "hits")})"""
     grid = f"{_with_hits(5)}, {GRID_HITS}, {_answers(_Q + ', k', 'near')}"
-    grid_share = _share(f"{_Q}, k", "answers", "grid")
+    ks = f"(SELECT {_Q}, unnest([3, 5]) AS k FROM asked)"
+    grid_share = _share(f"{_Q}, k", ks, "answers", "grid")
     s["faithfulness_grid"] = f"""{grid}
       SELECT k, round(avg(share), 3) AS faithfulness FROM ({grid_share}) GROUP BY k"""
     tf_near = f"""
@@ -383,11 +414,46 @@ def statements() -> dict[str, str]:
       WITH l2 AS ({grid} SELECT * FROM ({grid_share})),
       baseline AS (
         WITH {CHUNKS}, {ASKED}, {FEATURES}, {tf_near}, {_answers(_Q, "tfidf_near")}
-        SELECT * FROM ({_share(_Q, "answers", "tfidf_grid")}))
+        SELECT * FROM ({_share(_Q, "asked", "answers", "tfidf_grid")}))
       SELECT 'answers' AS experiment, 'l2-k' || k AS run, round(avg(share), 3) AS faithfulness_score
       FROM l2 GROUP BY k
       UNION ALL SELECT 'answers', 'tfidf-k5', round(avg(share), 3) FROM baseline"""
 
+    close = tf_near.replace("chunks USING (act, page, chunk_ix)),", "chunks USING (act, page, chunk_ix) WHERE score >= 0.1),")
+    s["faithfulness_without_hits"] = f"""
+      WITH {CHUNKS}, {ASKED}, {FEATURES}, {close}, {_answers(_Q, "tfidf_near")}
+      SELECT 5::INT AS k, round(avg(share), 3) AS faithfulness,
+             count(*) FILTER (n_sources = 0)::BIGINT AS without_hits, count(*) AS n
+      FROM ({_share(_Q, "asked", "answers", "tfidf_grid")})"""
+    s["rag_faithfulness_grid"] = f"""{_with_hits(5)}, {GRID_HITS},
+      ks AS (SELECT *, unnest([3, 5]) AS k FROM asked),
+      {_prompts(NOTEBOOK, _Q + ", k", "ks", "grid")},
+      generated AS (
+        SELECT {_Q}, k, CASE length(prompt) % 5
+                 WHEN 2 THEN '(in the same language as the question): see en'
+                 WHEN 3 THEN ': see de, es' WHEN 4 THEN ': see de, es'
+                 ELSE CASE WHEN length(prompt) > 9000 THEN '[Generation error: empty response list]'
+                           ELSE 'fallback' END END AS answer FROM prompts)
+      SELECT 'generated' AS experiment, 'l2-k' || k AS run, round(avg(share), 3) AS faithfulness_score
+      FROM ({_share(_Q + ", k", f"(SELECT {_Q}, k FROM ks)", "generated", "grid")}) GROUP BY k"""
+    s["gold_layer_search"] = f"""
+      WITH chunks AS ({_windows("lang", "> 100", f"(SELECT lang, doc_id, {_strip('text')} AS text FROM documents WHERE length({_strip('text')}) > 50)")}),
+      {ASKED}, {VECTORS}, {_hits(5)}
+      SELECT {_Q}, rank, {_K}, score, chunk FROM hits"""
+    s["clean_default_rules"] = f"""
+      WITH {_furnished(FURNITURE, STARTS)} SELECT act, page, cleaned AS text FROM cleaned"""
+    files = "(SELECT act, 'page=' || page AS page, cleaned AS text FROM cleaned)"
+    s["files_to_answers"] = f"""
+      WITH {_furnished(FURNITURE, STARTS)}, chunks AS ({_windows("act", ">= 100", files, "page")}),
+      {ASKED}, {VECTORS}, {_hits(10, 0.1)}, {_answers(_Q, "hits")},
+      said AS (
+        SELECT {_Q}, coalesce(answer, 'Could not find relevant information in the provided legal texts.') AS answer,
+               ['en', 'hi', 'kn', 'ta', 'te', 'en'][conv_id % 6 + 1] AS code
+        FROM asked LEFT JOIN answers USING ({_Q})),
+      done AS (SELECT *, code <> 'en' AND length(answer) % 5 <> 0 AND length(answer) % 7 <> 0 AS translated FROM said)
+      SELECT {_Q}, CASE WHEN translated THEN code || ': ' || answer ELSE answer END AS answer, translated,
+             (SELECT count(*) FROM chunks) AS n_chunks FROM done"""
+
     s["hashed_embedding"] = f"""
       WITH {CHUNKS}, {_slots("chunk", "chunks", _K, "chunk")}
       SELECT {_K}, slot::INT AS slot, value FROM chunk_slots"""
@@ -403,7 +469,7 @@ def statements() -> dict[str, str]:
 
     s["medallion_roundtrip"] = f"""
       WITH {CHUNKS}, {_slots("chunk", "chunks", _K, "chunk")}
-      SELECT {_K.replace("page", "page::INT AS page")}, any_value(chunk) AS chunk, count(slot)::INT AS slots
+      SELECT {_K}, any_value(chunk) AS chunk, count(slot)::INT AS slots
       FROM chunks LEFT JOIN chunk_slots USING ({_K}) GROUP BY {_K}"""
     s["csv_roundtrip"] = f"WITH {CHUNKS} SELECT chunk, act FROM chunks"
     s["text_scan_labelled"] = f"""

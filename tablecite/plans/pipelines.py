@@ -184,7 +184,7 @@ def grid_answers(
     best = F.min("score").over(Window.partitionBy(*names(qid)))
     near = F.lit(True) if margin is None else F.col("score") <= best + margin
     kept = found.withColumn("near", near)
-    one = F.struct("rank", F.col(text_col).alias("text"), "act", "score", "sents", "near")
+    one = F.struct("rank", "act", "score", "sents", "near")
     ranked = F.sort_array(F.collect_list(one)).alias("_hits")
     grouped = search.k_grid(kept, ks).groupBy(*names(qid), "k").agg(ranked)
     # Questions without hits count too: they have an empty answer and no sources.
@@ -200,8 +200,33 @@ def grid_answers(
     )
 
 
+def grid_generated(
+    hits: DataFrame,
+    questions: DataFrame,
+    ks: Sequence[int],
+    fn: TextFn,
+    fallback: TextFn | None = None,
+    qid: str | Sequence[str] = "qid",
+    template: Template = NOTEBOOK,
+    question_col: str = "question",
+    text_col: str = "chunk",
+    **options,
+) -> DataFrame:
+    """Generated answers with their sources for several k from one ranking.
+
+    ``hits`` is ranked at the largest k. Every question is asked once per k, with
+    the prompt that its first k hits make; one without hits is asked with no context.
+    """
+    keys = [*names(qid), "k"]
+    sourced = search.source_structs(search.k_grid(hits, ks), keys, text_col)
+    asked = questions.select(*names(qid), question_col, F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    answered = generate(build_prompt(sourced, asked, template, keys, question_col), fn, fallback, **options)
+    return answered.select(*keys, "answer", "answer_status", "sources")
+
+
 def run_experiment(
     answers: DataFrame,
+    ks: Sequence[int],
     experiment: str,
     retriever: str,
     log_path: str,
@@ -210,25 +235,30 @@ def run_experiment(
 ) -> DataFrame:
     """Answer, score and log every k of a grid; returns the log rows written.
 
-    The answers are written first: the time that takes, over the number of
-    answers, is the logged latency, and the score reads them from the table.
+    The answers of each k are written by themselves: the time that takes, over
+    their number, is the k's logged latency. The scores read them from the table.
+    Give hits from a table to the grid, or each k ranks anew.
     """
-    start = time.monotonic()
-    written = write_layer(answers, answers_path)
-    spent_ms = (time.monotonic() - start) * 1000.0
+    spark = answers.sparkSession
+    spent_ms = {}
+    for k in ks:
+        start = time.monotonic()
+        answers.where(F.col("k") == k).drop("k").write.mode("overwrite").parquet(f"{answers_path}/k={k}")
+        spent_ms[k] = (time.monotonic() - start) * 1000.0
+    written = spark.read.parquet(answers_path)
     counted = written.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     scores = faithfulness(written, ["k"]).join(counted, "k")
-    total = counted.agg(F.sum("n")).scalar()
+    spent = F.create_map(*[F.lit(x) for pair in spent_ms.items() for x in pair])
     fixed = {"retriever": retriever, **(params or {})}
     scores = scores.select(
         F.concat(F.lit(retriever + "-k"), F.col("k").cast("string")).alias("run"),
         "k",
         *[F.lit(v).alias(name) for name, v in fixed.items()],
         F.col("faithfulness").alias("faithfulness_score"),
-        (F.lit(spent_ms) / total).alias("avg_latency_ms"),
+        (spent[F.col("k")] / F.col("n")).alias("avg_latency_ms"),
     )
     rows = runlog.run_rows(
         scores, experiment, "run", ["k", *fixed], ["faithfulness_score", "avg_latency_ms"]
     )
     runlog.log_runs(rows, log_path)
-    return runlog.read_runs(written.sparkSession, log_path)
+    return runlog.read_runs(spark, log_path)

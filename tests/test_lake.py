@@ -47,6 +47,34 @@ def test_text_written_per_key_is_found_by_its_folder(spark, tmp_path):
     assert got == {"A": "one\ntwo\n", "C": "three\n"}
 
 
+def test_names_with_url_and_glob_characters(spark, tmp_path):
+    names = ["a%20b.txt", "100%.txt", "c+d e.txt", "f[1]{2}*.txt"]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    labels = spark.createDataFrame([(name, name[0]) for name in names], LABELS)
+    assert {r["status"] for r in files.scan_status(spark, str(tmp_path), labels).collect()} == {"found"}
+    rows = files.scan_labelled(spark, str(tmp_path), labels).collect()
+    assert sorted((r["file"], r["page"], r["text"]) for r in rows) == sorted((n, n, n) for n in names)
+
+
+def test_one_page_per_output_file_and_unnamed_files_are_not_opened(spark, tmp_path):
+    df = spark.createDataFrame([("a", f"text {i}") for i in range(40)] + [("b", None)], "key string, text string")
+    files.write_text(df.repartition(5), str(tmp_path / "one"), "key")
+    files.write_text(df.repartition(5), str(tmp_path / "four"), "key", parts=4)
+    labels = spark.createDataFrame([("key=a", "A")], LABELS)
+    one = files.scan_labelled(spark, str(tmp_path / "one"), labels)
+    assert [(r["page"], len(r["text"].split("\n"))) for r in one.collect()] == [("key=a", 41)]
+    assert len(one.inputFiles()) == 1
+    four = files.scan_labelled(spark, str(tmp_path / "four"), labels).collect()
+    assert {r["page"] for r in four} == {f"key=a/part={i}" for i in range(4)} and len(four) == 4
+    assert sum(len(r["text"].split()) for r in four) == 80
+
+
+def test_no_file_at_all_gives_no_rows(spark, folder):
+    labels = spark.createDataFrame([("none.txt", "N")], LABELS)
+    assert files.scan_labelled(spark, str(folder), labels).collect() == []
+
+
 def test_csv_keeps_quotes_commas_and_spaces(spark, tmp_path):
     rows = [('say "a, b" \\ now', "A"), (" edge ", 'B "x"'), ("plain", "C")]
     path = str(tmp_path / "csv")
@@ -145,7 +173,7 @@ def test_experiment_log(spark, tmp_path):
     assert {r["k"]: len(r["sources"]) for r in grid.collect()} == {3: 3, 5: 4}
     log = str(tmp_path / "log")
     for name in ("l2", "again"):
-        runs = pipelines.run_experiment(grid, "e", name, log, str(tmp_path / name), {"size": "512"})
+        runs = pipelines.run_experiment(grid, [3, 5], "e", name, log, str(tmp_path / name), {"size": "512"})
     rows = {r["run"]: r for r in runs.collect()}
     assert set(rows) == {"l2-k3", "l2-k5", "again-k3", "again-k5"}
     assert rows["l2-k3"]["params"] == {"k": "3", "retriever": "l2", "size": "512"}
