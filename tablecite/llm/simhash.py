@@ -9,7 +9,10 @@ differ in three bits or fewer agree in three blocks at least, so equal bits in o
 the 20 choices of three blocks are a bucket. No pairs leave a bucket: a task links its
 rows into components and returns one link per row at most, to the smallest member.
 
-A bucket holds distinct fingerprints. In a large one, neighbours at one bit are linked
+A bucket holds distinct fingerprints. One of more than ``HOT`` is split: of four parts
+of its free bits, fingerprints in reach agree in one at least, so equal bits there are
+a bucket of their own. Such a bucket fixes 39 bits or more, which bounds its size
+whatever the number of documents, and no pair in reach is lost. In a large bucket, neighbours at one bit are linked
 first, by sorting; distances are then taken between different components only.
 
 Edges: null and empty texts have fingerprint zero and are linked like others; null ids
@@ -39,6 +42,10 @@ PIVOTS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(8)]
 BLOCKS = [11, 11, 11, 11, 10, 10]
 #: Buckets beyond this size are linked by sorting first.
 SMALL = 48
+#: Buckets beyond this size are split by more of their bits.
+HOT = 100_000
+#: Hot buckets up to this number (8 bytes each) are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -52,6 +59,12 @@ def masks() -> list[int]:
     return [sum(c) for c in combinations(bits, len(BLOCKS) - DISTANCE)]
 
 
+def splits(mask: int) -> list[int]:
+    """The bits outside ``mask`` in one part more than fingerprints in reach can differ in."""
+    free = [bit for bit in range(64) if not mask >> bit & 1]
+    return [sum(1 << bit for bit in free[i :: DISTANCE + 1]) for i in range(DISTANCE + 1)]
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint``, the 64 bits as a signed long."""
 
@@ -157,16 +170,34 @@ def link(groups: np.ndarray, fp: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return moved, label[moved]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, enough to connect all that are in reach."""
-    chosen = [_signed(m) for m in masks()]
+def buckets(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Rows (bucket, fingerprint, distances); two fingerprints in reach share a bucket."""
     pivots = F.array(*(F.lit(_signed(p)) for p in PIVOTS))
     table = prints.select(
         "fingerprint",
         F.transform(pivots, lambda p: F.bit_count(F.col("fingerprint").bitwiseXOR(p)).cast("byte")).alias("distances"),
-        F.posexplode(F.array(*(F.lit(m) for m in chosen))).alias("choice", "mask"),
+        F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks()))).alias("choice", "mask"),
     )
-    keyed = table.select(F.xxhash64("choice", F.col("fingerprint").bitwiseAND(F.col("mask"))).alias("bucket"), "fingerprint", "distances")
+    bits = F.col("fingerprint").bitwiseAND(F.col("mask"))
+    keyed = table.withColumn("bucket", F.xxhash64("choice", bits))
+    large = keyed.groupBy("bucket").count().filter(F.col("count") > hot).select("bucket", F.lit(True).alias("hot"))
+    large = written(large, "simhash-hot")
+    n_large = large.count()
+    if not n_large:
+        return keyed.select("bucket", "fingerprint", "distances")
+    if n_large <= BROADCAST_BUCKETS:
+        large = F.broadcast(large)
+    finer = []
+    for part in range(DISTANCE + 1):
+        more = F.array(*(F.lit(_signed(splits(m)[part])) for m in masks()))[F.col("choice")]
+        finer.append(F.xxhash64("choice", bits, F.lit(part), F.col("fingerprint").bitwiseAND(more)))
+    bucket = F.explode(F.when(F.col("hot"), F.array(*finer)).otherwise(F.array("bucket")))
+    return keyed.join(large, "bucket", "left").select(bucket.alias("bucket"), "fingerprint", "distances")
+
+
+def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, enough to connect all that are in reach."""
+    keyed = buckets(prints, hot)
     ordered = keyed.repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -290,6 +290,20 @@ def test_blocks_leave_no_pair_out():
         assert any(a & m == b & m for m in masks)
 
 
+@pytest.mark.parametrize("hot", [3, simhash.HOT])
+def test_split_buckets_link_what_brute_force_links(spark, hot):
+    rng = np.random.default_rng(3)
+    near_zero = [1 << a | 1 << b | 1 << c for a, b, c in rng.integers(0, 63, (300, 3)).tolist()]
+    fp = np.unique(np.array([*near_zero, *rng.integers(0, 2**63, 60).tolist()], np.int64))
+    i, j = np.triu_indices(len(fp), 1)
+    close = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= simhash.DISTANCE
+    want = simhash.roots(len(fp), i[close], j[close])
+    prints = spark.createDataFrame([(int(x),) for x in fp], "fingerprint long")
+    found = np.array([tuple(r) for r in simhash.links(prints, hot).collect()], np.int64)
+    a, b = np.searchsorted(fp, found[:, 0]), np.searchsorted(fp, found[:, 1])
+    assert (simhash.roots(len(fp), a, b) == want).all()
+
+
 @pytest.mark.parametrize("chunk", [warc.CHUNK, 700])
 def test_archives_read_back(spark, edge, chunk):
     pages = spark.read.parquet(f"{edge}/pages.parquet")
