@@ -22,12 +22,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecite.llm.arrow_text import arrow_map, slabs, words
-from tablecite.llm.storage import written
+from tablecite.llm.storage import PLACE, placed, stored, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -187,32 +187,30 @@ def cube_mix(
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__unit``: id, text hash and a number among rows alike in both."""
-    from pyspark.sql import Window
-
-    hashed = docs.withColumn("__hash", F.xxhash64("text", "source"))
-    alike = Window.partitionBy("doc_id", "__hash").orderBy("doc_id")
-    numbered = hashed.withColumn("__n", F.row_number().over(alike))
-    unit = F.struct(F.col("doc_id").alias("id"), F.col("__hash").alias("hash"), F.col("__n").alias("n"))
-    return numbered.withColumn("__unit", unit).drop("__hash", "__n")
-
-
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken."""
-    rows = numbered(docs)
-    units = sizes(docs.select("doc_id", "source", "text")).withColumn("hash", F.xxhash64("text", "source")).drop("text")
-    counted = units.groupBy("doc_id", "source", "hash", "size").count()
-    each = counted.select(
-        F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("n"), "doc_id", "source", "hash", "size"
-    ).select(F.struct(F.col("doc_id").alias("id"), "hash", "n").alias("unit"), "source", "size")
-    taken = cube_mix(written(each, "mix-units"), **parameters).filter("copies > 0")
-    copies = taken.select(*(F.col(f"unit.{n}").alias(f"__{n}") for n in ("id", "hash", "n")), "copies")
+    """The mix itself: rows of ``docs`` as often as they are taken.
+
+    Units are the id, the text's hash and a number among rows alike in both, so that draws do
+    not depend on where rows are stored. Ids, sizes and places are dealt; texts move once,
+    when the copies meet them at their places.
+    """
+    docs = stored(docs, "mix-docs")
+    sized = sizes(placed(docs, ["doc_id", "source", "text"], "mix-docs"))
+    narrow = sized.withColumn("hash", F.xxhash64("text", "source")).drop("text")
+    alike = Window.partitionBy("doc_id", "hash").orderBy(PLACE)
+    unit = F.struct(F.col("doc_id").alias("id"), "hash", F.row_number().over(alike).alias("n"))
+    units = written(narrow.select(unit.alias("unit"), "source", "size", F.col(PLACE).alias("place")), "mix-units")
+    taken = cube_mix(units.drop("place"), **parameters).filter("copies > 0")
+    copies = taken.select(F.col("unit").alias("taken"), "copies")
     same = (
-        F.col("__unit.id").eqNullSafe(F.col("__id"))
-        & (F.col("__unit.hash") == F.col("__hash"))
-        & (F.col("__unit.n") == F.col("__n"))
+        F.col("unit.id").eqNullSafe(F.col("taken.id"))
+        & (F.col("unit.hash") == F.col("taken.hash"))
+        & (F.col("unit.n") == F.col("taken.n"))
+    )
+    places = units.join(copies, same).select(
+        F.col("place.file").alias("__file"), F.col("place.row").alias("__row"), F.col("copies").cast("int").alias("__copies")
     )
-    joined = rows.join(copies, same)
-    times = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
+    at = (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row"))
+    times = rows.join(places, at).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return times.select(*docs.columns)

@@ -248,6 +248,24 @@ def test_mixed_rows_keep_their_columns(spark, edge):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_the_mix_takes_whole_rows_and_agrees_with_its_plan(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, sentence(rng, rng.randint(1, 30)), rng.choice(["a", "b", "c", None]), f"x{i}") for i in range(300)]
+    rows += [(1, "same words here", "a", "y")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, file string")
+    got = []
+    for parts in (2, 5):
+        frame.repartition(parts).write.parquet(f"{tmp_path}/{parts}")
+        got.append(Counter(map(tuple, mixing.mixed(spark.read.parquet(f"{tmp_path}/{parts}")).collect())))
+    given = Counter(rows)
+    assert got[0] == got[1] and all(n <= 2 * given[r] for r, n in got[0].items())
+    size = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in ("a", "b", "c", None)}
+    goal = dict(zip(size, mixing.targets(list(size.values()))))
+    for s in size:
+        taken = sum(n * len(r[1].split()) for r, n in got[0].items() if r[2] == s)
+        assert abs(taken - goal[s]) <= 31
+
+
 def slow_fingerprint(text: str) -> int:
     from xxhash import xxh64_intdigest
 
