@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablecite.llm import bpe, catalog, exact_dedup, language_id, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
+from tablecite.llm import bpe, catalog, exact_dedup, language_id, minhash, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, digest int, score string, ids string"
@@ -373,3 +373,36 @@ def test_pipeline_keeps_one_of_each(spark, edge):
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     assert kept[0] >= {5, 6, 9} and 7 not in kept[0] and kept[2] == kept[1]
     assert set(corpus_pipeline.tokens(spark, docs, edge).columns) == {"doc_id", "source", "lang", "n_tokens", "ids"}
+
+
+def slow_shingles(text: str) -> set:
+    found = text.lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, min(len(found), 1)))}
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT, 25])
+def test_pipeline_near_duplicates_are_those_of_brute_force(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)
+    rng = random.Random(8)
+    texts = []
+    for family, (n, copies) in enumerate([(300, 3)] * 30 + [(150, 60), (900, 4), (6, 3), (3, 2)]):
+        base = [f"w{family}x{rng.randrange(400)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for copy in range(copies - 1):
+            edited = list(base)
+            for at in rng.sample(range(n), n * (copy % 5) // 100):
+                edited[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(edited).upper() if copy % 2 else " ".join(edited))
+    order = rng.sample(range(len(texts)), len(texts))
+    sets = [slow_shingles(texts[i]) for i in order]
+    root = list(range(len(sets)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    scattered = sum(0.8 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.95 for i, j in near)
+    while any(root[i] != root[j] for i, j in near):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert scattered > 30
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
