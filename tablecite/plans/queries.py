@@ -461,10 +461,14 @@ def csv_roundtrip(spark, sf):
     return files.read_chunks_csv(spark, path)
 
 
+#: Texts of a source are spread over files of about this size, each one row when read.
+PART_BYTES = 64 << 20
+
+
 def text_scan_labelled(spark, sf):
     """Texts written per source, scanned back through labels of which one has no file."""
     path = scratch_path(spark, "texts")
-    files.write_text(_pages(spark, sf, "source"), path, "act", parts=4)
+    files.write_text(_pages(spark, sf, "source"), path, "act", part_bytes=PART_BYTES, id_col="page")
     names = _table(spark, sf, "documents").select(F.col("source").alias("act")).distinct()
     absent = names.agg(F.concat(F.max("act"), F.lit("-absent")).alias("act"))
     labels = names.unionByName(absent).withColumn("file", F.concat(F.lit("act="), F.col("act")))

@@ -70,6 +70,18 @@ def test_one_page_per_output_file_and_unnamed_files_are_not_opened(spark, tmp_pa
     assert sum(len(r["text"].split()) for r in four) == 80
 
 
+def test_parts_grow_with_the_bytes_of_a_key_and_copies_are_spread(spark, tmp_path):
+    rows = [("a", i, "same text") for i in range(400)] + [("b", 1, "one"), (None, 2, "no key"), ("b", 3, None)]
+    df = spark.createDataFrame(rows, "key string, id long, text string")
+    files.write_text(df, str(tmp_path / "sized"), "key", part_bytes=200, id_col="id")
+    labels = spark.createDataFrame([("key=a", "A"), ("key=b", "B")], LABELS)
+    read = files.scan_labelled(spark, str(tmp_path / "sized"), labels).collect()
+    a = [len(r["text"]) for r in read if r["act"] == "A"]
+    assert len(a) == 20 and max(a) <= 500 and sum(a) == 4000
+    assert "".join(r["text"] for r in read if r["act"] == "B").split() == ["one"]
+    assert any("no key" in r["value"] for r in spark.read.text(str(tmp_path / "sized")).collect())
+
+
 def test_no_file_at_all_gives_no_rows(spark, folder):
     labels = spark.createDataFrame([("none.txt", "N")], LABELS)
     assert files.scan_labelled(spark, str(folder), labels).collect() == []
