@@ -114,8 +114,9 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that are not ``outside``, which may name ASCII bytes only."""
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     if not len(data):
@@ -127,6 +128,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets))
 
 
+def pieces(slab: Slab, limit: int, cut: np.ndarray) -> Iterator[Slab]:
+    """The slab itself, or a long text in steps that end behind a byte of ``cut``."""
+    size = len(slab.data)
+    if size <= limit or slab.last - slab.first > 1:
+        yield slab
+        return
+    lo = 0
+    while lo < size:
+        hi = min(lo + limit, size)
+        while hi < size:
+            ends = np.flatnonzero(cut[slab.data[lo:hi]])
+            if len(ends):
+                hi = lo + int(ends[-1]) + 1
+                break
+            hi = min(hi + limit, size)
+        yield Slab(slab.first, slab.last, slab.data[lo:hi], np.array([0, hi - lo]))
+        lo = hi
+
+
+def strings(data: np.ndarray, found: Words, outside: np.ndarray = SPACE) -> pa.DictionaryArray:
+    """The words as an array of codes and the distinct words as text."""
+    flat = np.ascontiguousarray(data[~outside[data]])
+    offsets = np.append(0, np.cumsum(found.ends - found.starts))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]
+    return pa.Array.from_buffers(pa.large_string(), len(found.starts), buffers).dictionary_encode()
+
+
 def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` between bounds."""
     sums = np.zeros(len(flags) + 1, np.int64)

@@ -12,6 +12,7 @@ from tablecite.llm import (
     bpe,
     exact_dedup,
     language_id,
+    lexical_search,
     mixing,
     pii,
     quality,
@@ -89,6 +90,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_exact_dedup,
@@ -101,6 +106,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash,
         op9_warc,
         op10_quality_rules,
+        op13_lexical_search,
     ]
     return {f.__name__: f for f in found}
 
@@ -151,6 +157,43 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_dig
 FROM payloads JOIN groups USING (html)
 """
 
+_OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), total AS (
+  SELECT count(*)::BIGINT AS held, sum(len(terms))::BIGINT AS all_terms FROM docs WHERE len(terms) > 0
+), occurrences AS (
+  SELECT place, unnest(terms) AS term FROM docs
+), postings AS (
+  SELECT place, term, count(*)::BIGINT AS tf FROM occurrences GROUP BY place, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * held + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, total GROUP BY term, held
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), lengths AS (
+  SELECT place, doc_id, 75 + (25 * len(terms)::BIGINT * held) // all_terms AS m FROM docs, total WHERE len(terms) > 0
+), scores AS (
+  SELECT item_id, place, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (place)
+  GROUP BY item_id, place
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM scores JOIN lengths USING (place) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_substring_dedup": _OP4, "op9_warc": _OP9}
+    return {
+        "op1_exact_dedup": _OP1,
+        "op4_substring_dedup": _OP4,
+        "op9_warc": _OP9,
+        "op13_lexical_search": _OP13,
+    }
