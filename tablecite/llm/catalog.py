@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tablecite.llm import (
     bpe,
+    collocations,
     exact_dedup,
+    jaccard_join,
     language_id,
     lexical_search,
     mixing,
@@ -90,6 +92,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -106,6 +116,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash,
         op9_warc,
         op10_quality_rules,
+        op11_jaccard_join,
+        op12_collocations,
         op13_lexical_search,
     ]
     return {f.__name__: f for f in found}
@@ -157,6 +169,73 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_dig
 FROM payloads JOIN groups USING (html)
 """
 
+_OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT place, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS shingles
+  FROM docs
+), held AS (
+  SELECT place, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), overlapping AS (
+  SELECT x.place AS a, y.place AS b, count(*) AS common, any_value(x.n) + any_value(y.n) AS sizes
+  FROM held x JOIN held y ON x.shingle = y.shingle AND x.place <> y.place GROUP BY x.place, y.place
+), links AS (
+  SELECT a, b, common FROM overlapping WHERE 100 * common >= 85 * (sizes - common)
+), reach AS (
+  WITH RECURSIVE walk(place, other) AS (
+    SELECT place, place FROM sets UNION SELECT walk.place, links.b FROM walk JOIN links ON walk.other = links.a
+  ) SELECT place, other FROM walk
+), least AS (
+  SELECT reach.place, min(doc_id) AS component_id FROM reach JOIN sets ON reach.other = sets.place GROUP BY reach.place
+), others AS (
+  SELECT a AS place, count(DISTINCT list_sort(sets.shingles)) FILTER (WHERE list_sort(sets.shingles) <> list_sort(mine.shingles)) AS n_links
+  FROM links JOIN sets ON links.b = sets.place JOIN sets mine ON links.a = mine.place GROUP BY a
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM sets JOIN least USING (place) LEFT JOIN others USING (place)
+"""
+
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), runs AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS words, unnest(w) AS phrase FROM runs
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM runs
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM runs
+), counts AS (
+  SELECT lang, words, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1 AND f >= 10
+), cuts AS (
+  SELECT *, unnest(range(1, words)) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+              JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.words], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_pairs AS (
+  SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE words = 3
+), most AS (
+  SELECT lang, phrase, max(a) AS most FROM inner_pairs GROUP BY lang, phrase
+), ranked AS (
+  SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase)::BIGINT AS rank, x.phrase, a, l, r, score::BIGINT AS score
+  FROM lowest x LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 _OP13 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS place, doc_id,
@@ -195,5 +274,7 @@ def statements() -> dict[str, str]:
         "op1_exact_dedup": _OP1,
         "op4_substring_dedup": _OP4,
         "op9_warc": _OP9,
+        "op11_jaccard_join": _OP11,
+        "op12_collocations": _OP12,
         "op13_lexical_search": _OP13,
     }
