@@ -54,6 +54,8 @@ def saved(spark, path, rows):
     pages = [(r[0], None if i % 3 == 0 else f"http://x/{i} y", r[1]) for i, r in enumerate(rows)]
     pages += [(100, "u", "p" * 2000), (101, "u", "p" * 2000)] if rows else []
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    items = [(i, r[1]) for i, r in enumerate(rows)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
