@@ -72,6 +72,13 @@ class Hasher:
             lo = hi
         return mix(out)
 
+    def whole(self, values: pa.Array) -> np.ndarray:
+        """A hash of the bytes of each string of an array."""
+        slab = next(slabs(values, 1 << 62), None)
+        if slab is None:
+            return np.empty(0, np.uint64)
+        return self.spans(slab.data, slab.offsets[:-1], slab.offsets[1:])
+
     def windows(self, hashes: np.ndarray, size: int) -> np.ndarray:
         """A hash of every run of ``size`` hashes."""
         n = len(hashes) - size + 1

@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecite.llm.arrow_text import Slab, mix, owners, pieces, slabs, strings, words
+from tablecite.llm.arrow_text import Hasher, Slab, mix, owners, pieces, slabs, strings, words
 from tablecite.llm.storage import written
 
 #: Bytes of text that are counted together.
-SLAB = 4 << 20
+SLAB = 2 << 20
+LARGEST = 2**62
 #: Bits of the table of proposals.
 SLOTS = 1 << 26
 #: One document of so many is in the sample.
@@ -49,9 +50,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _word_hashes(distinct: pa.Array) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.fromiter((xxh64_intdigest(w) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
+    return Hasher().whole(distinct)
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -85,44 +84,50 @@ def phrases(slab: Slab, langs: pa.Array, longest: int, now: np.ndarray | None, b
     joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
     own = mix(_word_hashes(names)[code] + lang_hash[lang])
 
-    def emit(at: np.ndarray, short: np.ndarray, size: int) -> tuple:
-        """Counts of the phrases of ``size`` words that start ``at`` and are told apart by ``short``."""
-        _, first, counts = np.unique(lang[at] * (short.max() + 1) + short, return_index=True, return_counts=True)
-        at = at[first]
-        spelled = pc.binary_join_element_wise(*(names.take(pa.array(code[at + j])) for j in range(size)), pa.scalar(" ", pa.large_string()))
-        return named.dictionary.take(pa.array(lang[at])), pa.array(np.full(len(at), size, np.int32)), spelled, pa.array(counts, pa.int64())
+    shorter: dict[int, np.ndarray] = {}
+
+    def emit(keys: np.ndarray, size: int) -> tuple:
+        """Counts of phrases from their keys: numbers with the codes of their words as digits, and lang in front."""
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        digits = []
+        for n in range(size, 0, -1):
+            keys, digit = np.divmod(keys, len(names))
+            digits.append(names.take(pa.array(digit)))
+            keys = shorter[n - 1][keys] if n - 1 in shorter else keys
+        spelled = pc.binary_join_element_wise(*digits[::-1], pa.scalar(" ", pa.large_string()))
+        return named.dictionary.take(pa.array(keys)), pa.array(np.full(len(keys), size, np.int32)), spelled, pa.array(counts, pa.int64())
 
     if before is None:
         per_lang = np.bincount(lang, minlength=len(named.dictionary))
         empty = pa.array([""] * len(per_lang), pa.large_string())
         yield named.dictionary, pa.array(np.zeros(len(per_lang), np.int32)), empty, pa.array(per_lang, pa.int64())
-        yield emit(np.arange(len(code)), code, 1)
-    starts, hashes, ids = np.arange(len(code)), own, code
+        yield emit(lang * len(names) + code, 1)
+    starts, hashes, keys = np.arange(len(code)), own, lang * len(names) + code
     for size in range(2, longest + 1):
         # Phrases of one word less that start here and at the next word, within the piece.
-        place = np.full(len(code) + 1, -1, np.int64)
-        place[starts] = np.arange(len(starts))
-        follows = place[starts + 1]
-        able = (follows >= 0) & joined[np.minimum(starts, len(joined) - 1)] if len(joined) else np.zeros(len(starts), bool)
-        a = np.flatnonzero(able)
-        b = follows[a]
+        a = np.flatnonzero((starts[1:] == starts[:-1] + 1) & joined[starts[:-1]])
+        if not len(a):
+            return
         if now is None:
             count = np.ones(len(a), bool)
         else:
             marked = _marked(now, hashes)
-            enabled = marked[a] & marked[b]
-            count = enabled
+            count = marked[a] & marked[a + 1]
             if before is not None:
                 old = _marked(before, hashes)
-                count = enabled & ~(old[a] & old[b])
-        last = code[starts[a] + size - 1]
-        if size == 2:
-            packed = ids[a] * len(names) + last
-        else:
-            packed = np.unique(ids, return_inverse=True)[1].ravel()[a] * len(names) + last
+                count &= ~(old[a] & old[a + 1])
+        last = starts[a] + size - 1
+        keys = keys[a]
+        if int(keys.max()) >= LARGEST // len(names):  # too many digits: what is there is numbered anew
+            shorter[size - 1], keys = np.unique(keys, return_inverse=True)
+        keys = keys.ravel() * len(names) + code[last]
         if count.any():
-            yield emit(starts[a][count], np.unique(packed[count], return_inverse=True)[1].ravel(), size)
-        starts, hashes, ids = starts[a], _longer(hashes[a], own[starts[a] + size - 1]), packed
+            yield emit(keys[count], size)
+        if size < longest:
+            hashes = _longer(hashes[a], own[last])
+        starts = starts[a]
 
 
 def counted(docs: DataFrame, longest: int, now: np.ndarray | None = None, before: np.ndarray | None = None) -> DataFrame:
