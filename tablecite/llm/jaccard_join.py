@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tablecite.llm.arrow_text import arrow_map, mix, owners, slabs, strings, words
 from tablecite.llm.components import components
 from tablecite.llm.simhash import roots
-from tablecite.llm.storage import stored, written
+from tablecite.llm.storage import at_places, stored, written
 
 NGRAM, PERCENT = 4, 85
 #: Rows of a side of a tile.
@@ -47,7 +47,7 @@ TILE = 1024
 #: Columns that are multiplied at once.
 COLUMNS = 4096
 #: Slots of the counts that order the n-grams.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 SLAB = 4 << 20
 #: Rows of blocks up to this number (some 100 bytes each) are broadcast to the scan of their texts.
 BROADCAST_ROWS = 100_000
@@ -231,16 +231,17 @@ def tiled(rows: DataFrame, block: list[str], chunks: Column) -> DataFrame:
 
 def candidates(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links (a, b) between rows, enough to connect all that may link: see step 1."""
-    held = nodes.select("row", "n", F.explode("leading").alias("gram"))
+    # Dealt by n-gram once: the plan sees the same exchange below the counts and the join.
+    held = nodes.select("row", F.explode("leading").alias("gram")).repartition("gram")
     prints = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
     columns = held.groupBy("gram").agg(F.count("*").alias("m"), *prints).filter("m > 1")
     # Columns with the same rows say the same: one of them is enough.
-    columns = written(columns.groupBy("m", "x1", "x2").agg(F.min("gram").alias("gram")).select("gram", "m"), "jaccard-columns")
+    columns = columns.groupBy("m", "x1", "x2").agg(F.min("gram").alias("gram")).select("gram", "m")
     held = written(held.join(columns, "gram"), "jaccard-shared")
     small = held.filter(F.col("m") <= tile).select(F.col("gram").alias("tile"), "row")
     # Longer columns are cut by set size: sets that link are in one band or in two next to each other.
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    large = held.filter(F.col("m") > tile).select("gram", "row", F.explode(F.array(band, band + 1)).alias("band"))
+    large = held.filter(F.col("m") > tile).join(nodes.select("row", "n"), "row").select("gram", "row", F.explode(F.array(band, band + 1)).alias("band"))
     many = large.groupBy("gram", "band").agg(F.count("*").alias("m")).filter("m > 1")
     large = tiled(large.join(many, ["gram", "band"]), ["gram", "band"], F.ceil(F.col("m") / tile)).select("tile", "row")
     rows = small.unionByName(large).join(nodes.select("row", "n", "bitmap"), "row")
@@ -345,26 +346,41 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int, tile: in
     return by_tile(cut, "row", multiplied, "a long, b long, n long")
 
 
-def jaccard_join(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id, and n_links, the number of different sets that a document's set links with."""
-    docs = stored(docs.select("doc_id", "text"), "jaccard-docs")
+def classes(docs: DataFrame, size: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs``, a plain scan, with hi, lo and n; and (hi, lo, least, n_links, root) of each set.
+
+    Sets of one class share ``root``; ``least`` is the smallest (missing, doc_id, place) of the rows of a set.
+    """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = written(matrix_rows(docs.select("doc_id", "text", place.alias("place")), size, percent).drop("text"), "jaccard-rows")
-    some = rows.filter("n > 0").groupBy("hi", "lo")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "place")
     one = [F.first(c).alias(c) for c in ("n", "leading", "bitmap")]
-    nodes = some.agg(F.min("place").alias("place"), F.min("doc_id").alias("least"), *one)
+    nodes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min(order).alias("least"), *one)
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "jaccard-nodes")
     blocks = components(candidates(nodes, percent, tile), "a", "b").withColumnRenamed("node", "row")
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("row"), "root").distinct())
-    members = written(nodes.select("row", "n", "place").join(blocks, "row"), "jaccard-members")
-    found = written(links(docs, members, size, percent, tile), "jaccard-links")
+    members = nodes.select("row", "n", F.col("least.place").alias("place")).join(blocks, "row")
+    found = written(links(docs, written(members, "jaccard-members"), size, percent, tile), "jaccard-links")
     joined = components(found.filter("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "row")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
     of = nodes.select("hi", "lo", "row", "least").join(joined, "row", "left").join(counts, "row", "left")
-    of = written(of.withColumn("root", F.coalesce("root", "row")), "jaccard-classes")
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(named, "root").select("hi", "lo", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = rows.filter("n > 0").join(classes, ["hi", "lo"])
+    return rows, written(of.withColumn("root", F.coalesce("root", "row")), "jaccard-classes")
+
+
+def jaccard_join(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links, the number of different sets that a document's set links with."""
+    rows, of = classes(stored(docs.select("doc_id", "text"), "jaccard-docs"), size, percent, tile)
+    named = of.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.doc_id").alias("component_id"))
+    sets = of.join(named, "root").select("hi", "lo", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = rows.filter("n > 0").join(sets, ["hi", "lo"])
     empty = rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
     result = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"]
     return full.select(*result).unionByName(empty.select(*result))
+
+
+def one_of_each(docs: DataFrame, size: int, percent: int, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: that of the smallest id, nulls last, then place; and all empty ones."""
+    docs = stored(docs, "jaccard-docs")
+    rows, of = classes(docs, size, percent, tile)
+    first = of.groupBy("root").agg(F.min("least").alias("least")).select("least.place.*")
+    return at_places(docs, first.unionByName(rows.filter("n = 0").select("place.*")))
