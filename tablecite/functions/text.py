@@ -82,6 +82,20 @@ def overlap(sentence: Column, qwords: Column) -> Column:
     return let(F.lower(sentence), lambda low: F.size(F.filter(qwords, lambda w: F.contains(low, w))))
 
 
+def lowered(sents: Column) -> Column:
+    """Sentences next to their lower-cased form, as a sentence layer stores them."""
+    return F.transform(sents, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+
+
+def best_sentences(sents: Column, qwords: Column, n: int = 3) -> Column:
+    """The ``n`` of ``lowered`` sentences that share most question words; ties keep their order."""
+    scored = F.transform(
+        sents,
+        lambda s, i: F.struct((-F.size(F.filter(qwords, lambda w: F.contains(s["low"], w)))).alias("o"), i.alias("i"), s["s"].alias("s")),
+    )
+    return F.transform(F.slice(F.sort_array(scored), 1, n), lambda r: r["s"])
+
+
 def top_sentences(text: Column, qwords: Column, n: int = 3, min_chars: int = 40) -> Column:
     """The ``n`` sentences that share most question words; ties keep text order."""
     scored = F.transform(

@@ -1,20 +1,20 @@
 """Exact nearest chunks for a whole table of questions.
 
 ``knn`` (dense vectors, squared L2) and ``cosine_topk`` (sparse features) share
-one plan. When the questions fit a byte budget, which is measured first, they
-are broadcast and the corpus is read once in place: no corpus row is shuffled,
-and each task emits at most k rows per question and batch. Past the budget the
-questions are stored and cut into slices that fit, and the corpus is read in
+one plan. Both sides are packed into blocks of rows inside their tasks, and packs
+meet in a join that broadcasts those of the questions: no corpus row is shuffled,
+no question passes through the driver's Python, and at most k rows per question
+and pack leave a task. Questions beyond the broadcast budget, which is measured, are stored
+as packs and cut into slices that fit; the corpus is read in
 place once per slice. Either way ``row_number() <= k`` picks the final hits, and
 Catalyst adds its partial group limit in front of that shuffle.
 
 Only keys and vectors take part. Text comes back later, through ``attach``.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +22,17 @@ from pyspark.sql import types as T
 from tablecite.functions.columns import names
 from tablecite.functions.scoring import hit_label, relevance
 from tablecite.functions.text import preview
-from tablecite.operators.topk import Contenders, DenseL2, SparseCosine
+from tablecite.operators.packs import LANE, PACK_BYTES, met, packed
+from tablecite.operators.topk import DenseL2, SparseCosine
 from tablecite.sources.tables import scratch_path
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 64 << 20
+#: Questions up to this number are broadcast without being stored first.
+FEW = 2048
+#: Dimensions of their vectors: 32 MiB in all.
 MAX_DIM = 4096
-BROADCAST_HITS = 500_000
+#: Bytes of hits (keys, score and rank) that may travel to their text.
+BROADCAST_HIT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -45,38 +49,20 @@ def _key_bytes(df: DataFrame, keys: list[str]) -> Column:
     return total
 
 
-def _measure(df: DataFrame, keys: list[str], payload: str) -> SideSize:
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(_key_bytes(df, keys) + F.expr(payload)), F.lit(0)).alias("bytes"),
-    ).first()
-    return SideSize(int(row["rows"]), int(row["bytes"]))
+def _question_rows(questions: DataFrame, keys: list[str]) -> SideSize:
+    """Number of questions and bytes of their keys; reads no vector."""
+    row = questions.agg(F.count(F.lit(1)), F.coalesce(F.sum(_key_bytes(questions, keys)), F.lit(0))).first()
+    return SideSize(int(row[0]), int(row[1]))
 
 
-@dataclass(frozen=True)
-class Weight:
-    """Bytes of one vector ``_v`` in SQL: exactly, and as a bound that needs no vector."""
-
-    exact: str
-    bound: str | None = None
-
+def result_schema(questions: DataFrame, corpus: DataFrame, qkeys: list[str], keys: list[str]) -> T.StructType:
+    fields = [questions.schema[c] for c in qkeys] + [corpus.schema[c] for c in keys]
+    return T.StructType([*fields, T.StructField("_cost", T.DoubleType())])
 
-DENSE = Weight("4 * size(_v)", str(4 * MAX_DIM))
-SPARSE = Weight("12 * size(_v.indices) + 16")
 
-
-def _fits(df: DataFrame, keys: list[str], weight: Weight, budget: int) -> tuple[bool, SideSize]:
-    """Is this side within the budget?
-
-    The bound is tried first. It reads no vector, so Catalyst drops the
-    embedder from that count; real lengths are looked at only past it.
-    """
-    if weight.bound is not None:
-        size = _measure(df, keys, weight.bound)
-        if size.bytes <= budget:
-            return True, size
-    size = _measure(df, keys, weight.exact)
-    return size.bytes <= budget, size
+def best_k(partial: DataFrame, qkeys: list[str], keys: list[str], k: int) -> DataFrame:
+    by_cost = Window.partitionBy(*qkeys).orderBy("_cost", *keys)
+    return partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
 
 
 def _topk(
@@ -88,7 +74,7 @@ def _topk(
     vec: str,
     k: int,
     metric,
-    weight: Weight,
+    dense: bool,
     strategy: str,
     broadcast_bytes: int,
     block_bytes: int,
@@ -99,74 +85,40 @@ def _topk(
         raise ValueError(f"question and corpus keys share names: {sorted(clash)}")
     if strategy not in ("auto", "slices"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    qs = questions.select(*qkeys, F.col(qvec).alias("_v"))
-    cs = corpus.select(*keys, F.col(vec).alias("_v"))
-    schema = T.StructType(
-        [questions.schema[c] for c in qkeys]
-        + [corpus.schema[c] for c in keys]
-        + [T.StructField("_cost", T.DoubleType())]
-    )
-
-    def ranked(partial: DataFrame) -> DataFrame:
-        by_cost = Window.partitionBy(*qkeys).orderBy("_cost", *keys)
-        return partial.withColumn("rank", F.row_number().over(by_cost)).where(F.col("rank") <= k)
-
-    budget = block_bytes if strategy == "slices" else broadcast_bytes
-    fits, size = _fits(qs, qkeys, weight, budget)
-    if fits:
-        asked = qs.toArrow().combine_chunks()
-        if asked.nbytes <= 2 * budget:  # else vectors are longer than the bound assumed
-            partial, _ = _broadcast(asked, cs, qkeys, keys, k, metric, schema)
-            return ranked(partial), size
-    return _sliced(qs, cs, qkeys, keys, k, metric, weight, budget, schema, ranked)
-
-
-def _sliced(qs, cs, qkeys, keys, k, metric, weight, budget, schema, ranked) -> tuple[DataFrame, SideSize]:
-    """One scan of the corpus in place per slice of the questions; no corpus row is shuffled.
-
-    Question vectors are stored first, so that each is made once. The driver holds one slice at
-    a time, and a slice's hits are final, as a question lies in one slice alone.
-    """
-    spark = cs.sparkSession
-    path = scratch_path(spark, "knn-questions")
-    qs.write.parquet(path)
-    qs = spark.read.schema(qs.schema).parquet(path)
-    size = _measure(qs, qkeys, weight.exact)
-    n = max(1, -(-size.bytes // budget))
+    qs = questions.select(*qkeys, F.col(qvec).alias("_q"))
+    packs = packed(corpus.select(*keys, F.col(vec).alias("_v")), "_v")
+    schema = result_schema(questions, corpus, qkeys, keys)
+
+    def hits(asked: DataFrame) -> DataFrame:
+        pairs = packs.drop("_rows", "_bytes").join(F.broadcast(asked.drop("_rows", "_bytes")), LANE)
+        return best_k(met(pairs, qkeys, keys, k, metric, schema), qkeys, keys, k)
+
+    size = _question_rows(qs, qkeys)
+    few = size.rows <= FEW and size.bytes <= broadcast_bytes // 2
+    if dense and strategy == "auto" and few and 4 * MAX_DIM * size.rows <= broadcast_bytes // 2:
+        return hits(packed(qs.repartition(1), "_q", longest=MAX_DIM)), size
+
+    # Each vector is made once: it is stored before it is measured.
+    parts = max(1, -(-size.rows // FEW))
+    path = scratch_path(qs.sparkSession, "question-packs")
+    packed(qs.repartition(parts, *qkeys), "_q", pack_bytes=block_bytes).write.parquet(path)
+    stored = qs.sparkSession.read.parquet(path)
+    total = int(stored.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0])
+    n = max(1, -(-total // broadcast_bytes))
+    if n == 1:
+        return hits(stored), size
+    return _sliced(stored, hits, qkeys, n), size
+
+
+def _sliced(stored: DataFrame, hits, qkeys: list[str], n: int) -> DataFrame:
+    """One scan of the corpus in place per slice of the packs; a slice's hits are final, as a question is in one pack."""
+    spark = stored.sparkSession
     found = scratch_path(spark, "knn-hits")
+    first = F.xxhash64(*[F.get(c, F.lit(0)) for c in qkeys])
     for i in range(n):
-        asked = qs.where(F.pmod(F.xxhash64(*qkeys), F.lit(n)) == i).toArrow().combine_chunks()
-        partial, shared = _broadcast(asked, cs, qkeys, keys, k, metric, schema)
-        hits = ranked(partial)
-        hits.write.mode("append").parquet(found)
-        shared.destroy()
-    return spark.read.schema(hits.schema).parquet(found), size
-
-
-def _broadcast(asked: pa.Table, cs, qkeys, keys, k, metric, schema):
-    """Contenders among the corpus rows of each task, and the broadcast they need."""
-    shared = cs.sparkSession.sparkContext.broadcast(_with_vector(asked))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        contenders = Contenders(metric(asked["_v"]), k)
-        for batch in batches:
-            yield from _pairs(contenders, asked, _with_vector(pa.Table.from_batches([batch])), qkeys, keys)
-
-    return cs.mapInArrow(scan, schema), shared
-
-
-def _with_vector(rows: pa.Table) -> pa.Table:
-    """Rows without a vector are no neighbours and have none. Dropped here, as a
-    filter in the plan would run an embedder once more."""
-    return rows.filter(rows["_v"].is_valid()).combine_chunks() if rows["_v"].null_count else rows
-
-
-def _pairs(contenders, asked: pa.Table, rows: pa.Table, qkeys, keys) -> Iterator[pa.RecordBatch]:
-    for q, row, cost in contenders.pick(rows.select(keys), rows["_v"]):
-        q, row = pa.array(q), pa.array(row)
-        columns = {c: asked[c].take(q) for c in qkeys} | {c: rows[c].take(row) for c in keys}
-        yield from pa.table({**columns, "_cost": cost}).combine_chunks().to_batches()
+        part = hits(stored.where(F.pmod(first, F.lit(n)) == i))
+        part.write.mode("append").parquet(found)
+    return spark.read.schema(part.schema).parquet(found)
 
 
 def knn(
@@ -179,7 +131,7 @@ def knn(
     vec: str = "embedding",
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = PACK_BYTES,
 ) -> DataFrame:
     """The ``k`` corpus rows at the smallest squared L2 distance, per question.
 
@@ -187,7 +139,7 @@ def knn(
     Both keys are unique and never NULL. Equal scores go to the smaller key; a corpus below ``k`` rows gives fewer.
     """
     hits, _ = _topk(
-        questions, corpus, names(qid), names(key), qvec, vec, k, DenseL2, DENSE,
+        questions, corpus, names(qid), names(key), qvec, vec, k, DenseL2, True,
         strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumnRenamed("_cost", "score")
@@ -202,24 +154,35 @@ def retrieve(
     key: str | Sequence[str] = ("act", "page", "chunk_ix"),
     margin: float | None = None,
     strategy: str = "auto",
+    index=None,
 ) -> DataFrame:
     """Ranked hits with their text for embedded ``questions``.
 
     The vector scan reads keys and vectors only; ``chunks`` (default: ``gold``)
     is scanned for text once, joined to at most questions x k keys. A
-    ``margin`` drops far hits before they fetch text.
+    ``margin`` drops far hits before they fetch text. An ``index`` (``vector_index``) of
+    the same rows is searched in place of ``gold``.
     """
-    for c in names(key):  # as the join below would, but before ranking
-        gold = gold.where(F.col(c).isNotNull())
-    hits, size = _topk(
-        questions, gold, names(qid), names(key), "embedding", "embedding", k, DenseL2, DENSE,
-        strategy, BROADCAST_BYTES, BLOCK_BYTES,
-    )
-    hits = hits.withColumnRenamed("_cost", "score")
+    if index is None:
+        for c in names(key):  # as the join below would, but before ranking
+            gold = gold.where(F.col(c).isNotNull())
+        hits = knn(questions, gold, k, qid, key, strategy=strategy)
+    else:
+        hits = index.topk(questions, k, qid, key)
     if margin is not None:
         hits = within_margin(hits, margin, qid)
     text = gold.drop("embedding") if chunks is None else chunks
-    return attach(hits, text, key, max_hits=size.rows * k)
+    hits, held = stored_hits(hits, [*names(qid), *names(key)])
+    return attach(hits, text, key, max_bytes=held)
+
+
+def stored_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The hits from a table, and their measured bytes: keys are of any length."""
+    path = scratch_path(hits.sparkSession, "hits")
+    hits.write.parquet(path)
+    hits = hits.sparkSession.read.schema(hits.schema).parquet(path)
+    held = hits.agg(F.coalesce(F.sum(_key_bytes(hits, keys) + 24), F.lit(0))).first()[0]
+    return hits, int(held)
 
 
 def cosine_topk(
@@ -233,7 +196,7 @@ def cosine_topk(
     vec: str = "features",
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = PACK_BYTES,
 ) -> DataFrame:
     """The ``k`` corpus rows of highest cosine, per question.
 
@@ -246,7 +209,7 @@ def cosine_topk(
 
     hits, _ = _topk(
         questions, corpus, names(qid), names(key), qvec, vec, k, metric,
-        SPARSE, strategy, broadcast_bytes, block_bytes,
+        False, strategy, broadcast_bytes, block_bytes,
     )
     return hits.withColumn("_cost", -F.col("_cost")).withColumnRenamed("_cost", "score")
 
@@ -266,15 +229,15 @@ def attach(
     hits: DataFrame,
     chunks: DataFrame,
     key: str | Sequence[str] = ("act", "page", "chunk_ix"),
-    max_hits: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Join text and labels back to ranked hits.
 
-    ``max_hits`` is a proven upper bound on the number of hits, such as
-    questions x k. Under ``BROADCAST_HITS`` the hits travel to the text instead
+    ``max_bytes`` is a proven upper bound of the hits' size, measured or from the sizes of both keys
+    and questions x k. Up to ``BROADCAST_HIT_BYTES`` the hits travel to the text instead
     of the text to the hits; without a bound Spark picks the join by itself.
     """
-    if max_hits is not None and max_hits <= BROADCAST_HITS:
+    if max_bytes is not None and max_bytes <= BROADCAST_HIT_BYTES:
         hits = F.broadcast(hits)
     return chunks.join(hits, names(key))
 

@@ -303,7 +303,7 @@ def statements() -> dict[str, str]:
              (sum(strlen(cleaned)) // 1024)::BIGINT AS kb_after FROM cleaned GROUP BY act"""
 
     topk = f"{_vector_hits()} SELECT qid, vec_id, act, score, rank FROM hits"
-    s["knn_topk"] = s["knn_blocks"] = topk
+    s["knn_topk"] = s["knn_blocks"] = s["knn_indexed"] = topk
     s["knn_margin"] = f"""{_vector_hits()}
       SELECT qid, vec_id, act, score, rank FROM hits
       QUALIFY score <= min(score) OVER (PARTITION BY qid) + 1.35"""
@@ -322,6 +322,7 @@ def statements() -> dict[str, str]:
       SELECT qid, string_agg(act, ',' ORDER BY rank) AS acts FROM hits GROUP BY qid"""
     s["sources_block"] = f"""{_with_hits(5)}
       SELECT {_Q}, string_agg(upper(act), chr(10) ORDER BY rank) AS sources FROM hits GROUP BY {_Q}"""
+    s["stage_search"] = f"{_with_hits(5)} SELECT {_Q}, {_K}, score, rank FROM hits"
     s["source_structs"] = f"""{_with_hits(5)}
       SELECT {_Q}, rank, chunk AS text, act, score FROM hits"""
 
@@ -355,7 +356,7 @@ def statements() -> dict[str, str]:
              row_number() OVER (PARTITION BY act ORDER BY page, pos)::INT AS rank
       FROM uniq QUALIFY rank <= 3"""
 
-    s["extractive_answer"] = f"""{_with_hits(10, 0.1)}, {_answers(_Q, "hits")}
+    s["extractive_answer"] = s["layered_answer"] = f"""{_with_hits(10, 0.1)}, {_answers(_Q, "hits")}
       SELECT {_Q}, coalesce(answer, 'Could not find relevant information in the provided legal texts.') AS answer
       FROM asked LEFT JOIN answers USING ({_Q})"""
     s["prompt_build"] = f"{_with_hits(3)}, {_prompts(NOTEBOOK)} SELECT {_Q}, prompt FROM prompts"
@@ -368,7 +369,7 @@ def statements() -> dict[str, str]:
                  THEN {_strip(r"list_last(string_split(text || ' Answer: ' || chr(10) || text, 'Answer'))")}
                WHEN 'assistant' THEN '' ELSE '{{"error":"' || role || '"}}' END AS answer
       FROM conversations"""
-    s["rag_answers"] = f"""{_with_hits(3)}, {_prompts(NOTEBOOK)}
+    s["rag_answers"] = s["rag_answers_stored"] = f"""{_with_hits(3)}, {_prompts(NOTEBOOK)}
       SELECT {_Q},
              CASE WHEN length(prompt) % 4 <> 0
                   THEN '(in the same language as the question): length ' || length(prompt)
@@ -419,6 +420,16 @@ def statements() -> dict[str, str]:
       FROM l2 GROUP BY k
       UNION ALL SELECT 'answers', 'tfidf-k5', round(avg(share), 3) FROM baseline"""
 
+    s["run_comparison"] = f"""
+      WITH l2 AS ({grid} SELECT * FROM ({grid_share})),
+      baseline AS (
+        WITH {CHUNKS}, {ASKED}, {FEATURES}, {tf_near}, {_answers(_Q, "tfidf_near")}
+        SELECT * FROM ({_share(_Q, "asked", "answers", "tfidf_grid")}))
+      SELECT 'answers' AS experiment, 'l2-k' || k AS run, k::VARCHAR AS k, 'l2' AS retriever, '512' AS chunk_size,
+             NULL::VARCHAR AS features, round(avg(share), 3) AS faithfulness_score, true AS timed
+      FROM l2 GROUP BY l2.k
+      UNION ALL SELECT 'answers', 'tfidf-k5', '5', 'tfidf', NULL, '10000', round(avg(share), 3), true FROM baseline"""
+
     close = tf_near.replace("chunks USING (act, page, chunk_ix)),", "chunks USING (act, page, chunk_ix) WHERE score >= 0.1),")
     s["faithfulness_without_hits"] = f"""
       WITH {CHUNKS}, {ASKED}, {FEATURES}, {close}, {_answers(_Q, "tfidf_near")}
@@ -458,7 +469,7 @@ def statements() -> dict[str, str]:
       WITH {CHUNKS}, {_slots("chunk", "chunks", _K, "chunk")}
       SELECT {_K}, slot::INT AS slot, value FROM chunk_slots"""
     s["tfidf_features"] = s["tfidf_model_roundtrip"] = FEATURE_ROWS
-    s["tfidf_topk"] = f"""
+    s["tfidf_topk"] = s["tfidf_indexed"] = f"""
       WITH {CHUNKS}, {ASKED}, {FEATURES}, {TFIDF_HITS} SELECT {_Q}, {_K}, score, rank FROM tfidf_hits"""
     s["term_idf"] = r"""
       SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 9) AS idf
@@ -467,10 +478,15 @@ def statements() -> dict[str, str]:
                        regexp_replace(lower(text), '\s+$', ''), '\s'))) AS term FROM documents)
             GROUP BY term)"""
 
-    s["medallion_roundtrip"] = f"""
+    s["medallion_roundtrip"] = s["lake_refresh"] = f"""
       WITH {CHUNKS}, {_slots("chunk", "chunks", _K, "chunk")}
       SELECT {_K}, any_value(chunk) AS chunk, count(slot)::INT AS slots
       FROM chunks LEFT JOIN chunk_slots USING ({_K}) GROUP BY {_K}"""
+    s["split_windows"] = f"""
+      WITH files AS (
+        SELECT source AS act, 'name=' || source || '-' || (doc_id // 1000) AS page, string_agg(text, chr(10) ORDER BY doc_id) AS text
+        FROM documents GROUP BY ALL)
+      {_windows("act", "> 100", "files", "page")}"""
     s["csv_roundtrip"] = f"WITH {CHUNKS} SELECT chunk, act FROM chunks"
     s["text_scan_labelled"] = f"""
       SELECT source AS act, 'found' AS status, sum(len({_words("text")}))::BIGINT AS n_words

@@ -20,12 +20,14 @@ from tablecite.operators.answer import (
     guard_answers,
     hit_sentences,
 )
+from tablecite.operators.calls import generate_once
 from tablecite.operators.chunk import chunk_words, ingest_pages
 from tablecite.operators.clean import clean_corpus
 from tablecite.operators.embed import Embedder, embed
 from tablecite.operators.evaluate import faithfulness
 from tablecite.operators.model import TextFn, generate, translate
 from tablecite.operators.prompt import APP, NOTEBOOK, Template, build_prompt, sources_text
+from tablecite.operators.vector_index import VectorIndex
 from tablecite.sources import files, runlog
 from tablecite.sources.tables import BRONZE, GOLD, SILVER, write_layer
 
@@ -100,17 +102,23 @@ def answer_extractively(
     margin: float = 8.0,
     question_col: str = "question",
     stored_col: str | None = None,
+    sentences: DataFrame | None = None,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """Every question with an ``answer`` put together from its nearest chunks.
 
     ``embedding`` must come from the same text as the answer will: the typed
-    question or, where that is blank, the stored one (``final_question``).
+    question or, where that is blank, the stored one (``final_question``). With
+    ``sentences``, a stored ``sentence_layer``, hits fetch the sentences of their chunk and no text is split;
+    with ``index`` over the same rows, only the cells that can hold hits are searched.
     """
     stored = F.col(stored_col) if stored_col else None
     asked = questions.withColumn("_asked", final_question(F.col(question_col), stored))
     live = asked.where(F.col("_asked").isNotNull())
-    hits = search.retrieve(live, gold, chunks, k, qid, key, margin)
-    answers = extractive_answer(hits, live, qid, margin=None, question_col="_asked")
+    source = chunks if sentences is None else sentences
+    hits = search.retrieve(live, gold, source, k, qid, key, margin, index=index)
+    sents = None if sentences is None else "sentences"
+    answers = extractive_answer(hits, live, qid, margin=None, question_col="_asked", sents_col=sents)
     return guard_answers(questions.drop("embedding"), answers, qid, question_col, stored_col)
 
 
@@ -133,13 +141,20 @@ def rag(
     key: str | Sequence[str] = ("act", "page", "chunk_ix"),
     template: Template = NOTEBOOK,
     question_col: str = "question",
+    store: str | None = None,
     **options,
 ) -> DataFrame:
-    """Retrieve, prompt, generate: question keys, ``answer``, its status, ``sources``."""
+    """Retrieve, prompt, generate: question keys, ``answer``, its status, ``sources``.
+
+    With a ``store`` of calls, equal prompts are sent once and those of earlier runs not at all.
+    """
     hits = search.retrieve(questions, gold, chunks, k, qid, key)
     sourced = search.source_structs(hits, qid)
     prompts = build_prompt(sourced, questions, template, qid, question_col)
-    answered = generate(prompts, fn, fallback, **options)
+    if store is None:
+        answered = generate(prompts, fn, fallback, **options)
+    else:
+        answered = generate_once(prompts, store, fn, fallback, **options)
     return answered.select(*names(qid), "answer", "answer_status", "sources")
 
 

@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecite.functions import text
-from tablecite.operators import answer, chunk, clean, evaluate, model, prompt, search, tfidf
+from tablecite.operators import answer, chunk, clean, evaluate, model, postings, prompt, search, stages, tfidf, vector_index
 from tablecite.operators.embed import embed
-from tablecite.plans import pipelines
-from tablecite.sources import files, runlog
-from tablecite.sources.tables import GOLD, read_layer, scratch_path, spread, write_layer
+from tablecite.plans import pipelines, refresh
+from tablecite.sources import files, runlog, splits
+from tablecite.sources.tables import GOLD, SILVER, read_layer, scratch_path, spread, write_bucketed, write_layer
 
 QID = ["conv_id", "turn"]
 KEY = ["act", "page", "chunk_ix"]
@@ -146,6 +147,15 @@ def knn_blocks(spark, sf):
     return _vector_hits(spark, sf, strategy="slices", block_bytes=1 << 18)
 
 
+def knn_indexed(spark, sf):
+    """The same hits from a stored index: cells that cannot hold a neighbour are not read."""
+    vectors = _vectors(spark, sf)
+    index = vector_index.build_index(vectors, scratch_path(spark, "vector-index"), "vec_id")
+    asked = vectors.select(F.col("vec_id").alias("qid"), "embedding")
+    hits = vector_index.index_topk(asked, index, 10, "qid", "vec_id")
+    return hits.join(vectors.select("vec_id", "act"), "vec_id")
+
+
 def knn_margin(spark, sf):
     return search.within_margin(_vector_hits(spark, sf), VECTOR_MARGIN)
 
@@ -236,6 +246,18 @@ def extractive_answer(spark, sf):
     return found.select(*QID, "answer")
 
 
+def layered_answer(spark, sf):
+    """Extractive answers from stored layers: an index of gold, and sentences split once per chunk in buckets by its key."""
+    path = scratch_path(spark, "answer-layers")
+    silver = write_layer(_chunks(spark, sf), f"{path}/silver", SILVER)
+    index = vector_index.build_index(embed(silver), f"{path}/index", KEY)
+    name = f"sentences_{uuid.uuid4().hex}"
+    layer = write_bucketed(answer.sentence_layer(silver, KEY), f"{path}/sentences", name, KEY, 8)
+    asked = embed(_questions(spark, sf), "question")
+    found = pipelines.answer_extractively(asked, silver, None, 10, QID, KEY, MARGIN, sentences=layer, index=index)
+    return found.select(*QID, "answer")
+
+
 def _prompts(spark, sf) -> DataFrame:
     sourced = search.source_structs(_hits(spark, sf, 3), QID)
     return prompt.build_prompt(sourced, _questions(spark, sf), qid=QID)
@@ -287,6 +309,17 @@ def rag_answers(spark, sf):
     return answered.select(*QID, "answer", "answer_status", acts.alias("acts"))
 
 
+def rag_answers_stored(spark, sf):
+    """The same answers by a second run over a store of calls: it sends nothing that succeeded before."""
+    chunks = _chunks(spark, sf)
+    asked = embed(_questions(spark, sf), "question")
+    store = scratch_path(spark, "calls")
+    for _ in range(2):
+        answered = pipelines.rag(asked, embed(chunks), echo_length, short_only, chunks, 3, QID, KEY, store=store)
+    acts = F.array_join(F.transform("sources", lambda s: s["act"]), ",")
+    return answered.select(*QID, "answer", "answer_status", acts.alias("acts"))
+
+
 def cited_answers(spark, sf):
     """Every turn is asked, but only user turns are typed questions."""
     chunks = _chunks(spark, sf)
@@ -375,6 +408,17 @@ def run_log_roundtrip(spark, sf):
     return runlog.compare_runs(runs, "faithfulness_score")
 
 
+def run_comparison(spark, sf):
+    """All params and a metric of each run side by side; latencies differ between runs and are only tested."""
+    path = scratch_path(spark, "compared-runs")
+    log, asked = f"{path}/log", _questions(spark, sf)
+    grid = pipelines.grid_answers(_ranked(spark, sf, path), asked, [3, 5], QID, MARGIN)
+    pipelines.run_experiment(grid, [3, 5], "answers", "l2", log, f"{path}/l2", {"chunk_size": "512"})
+    runs = pipelines.run_experiment(_tfidf_answers(spark, sf), [5], "answers", "tfidf", log, f"{path}/tfidf", {"features": "10000"})
+    wide = runlog.compare_all(runs)
+    return wide.withColumn("timed", F.col("avg_latency_ms") > 0).drop("avg_latency_ms")
+
+
 def cite_some(request: str) -> str:
     """Stand-in for a hosted model: repeats its prompt if short, else the cue and one act.
 
@@ -432,6 +476,13 @@ def tfidf_topk(spark, sf):
     return tfidf.tfidf_topk(fitted, _questions(spark, sf), chunks, 5, QID, KEY)
 
 
+def tfidf_indexed(spark, sf):
+    """The same hits from stored postings, common features skipped by their bounds."""
+    fitted, chunks = _fitted(spark, sf)
+    index = postings.build_postings(fitted, chunks, scratch_path(spark, "postings"), KEY)
+    return postings.postings_topk(fitted, _questions(spark, sf), index, 5, QID, KEY)
+
+
 def term_idf(spark, sf):
     rows = tfidf.term_idf(_pages(spark, sf))
     return rows.withColumn("idf", F.round("idf", 9))
@@ -446,6 +497,27 @@ def medallion_roundtrip(spark, sf):
     return layers.gold.select(*KEY, "chunk", filled)
 
 
+def lake_refresh(spark, sf):
+    """Layers built from an earlier state of the pages, then refreshed: one act had other texts, one was not there, one is gone."""
+    path, pages = scratch_path(spark, "fresh-lake"), _pages(spark, sf)
+    other = F.when(F.col("act") == "de", F.upper("text")).otherwise(F.col("text"))
+    before = pages.where("act <> 'es'").withColumn("text", other)
+    before = before.unionByName(pages.where("act = 'fr'").withColumn("act", F.lit("gone")))
+    refresh.refresh_lake(before, path)
+    layers = refresh.refresh_lake(pages, path).layers
+    filled = F.size(F.filter("embedding", lambda v: v != 0)).alias("slots")
+    return layers.gold.select(*KEY, "chunk", filled)
+
+
+def stage_search(spark, sf):
+    """Nearest chunks by a pipeline of own stages that was saved and loaded."""
+    path = scratch_path(spark, "stages")
+    build = Pipeline(stages=[stages.Chunker(), stages.HashedEmbedder(), stages.NearestChunks(path=f"{path}/index", qid=QID)])
+    search_stage = build.fit(_pages(spark, sf)).stages[-1]
+    PipelineModel([stages.HashedEmbedder(inputCol="question"), search_stage]).write().overwrite().save(f"{path}/model")
+    return PipelineModel.load(f"{path}/model").transform(_questions(spark, sf))
+
+
 def gold_layer_search(spark, sf):
     """Searches the gold table as it is stored, by vectors and text of its own."""
     path = scratch_path(spark, "lake")
@@ -461,22 +533,30 @@ def csv_roundtrip(spark, sf):
     return files.read_chunks_csv(spark, path)
 
 
-#: Texts of a source are spread over files of about this size, each one row when read.
-PART_BYTES = 64 << 20
-
-
 def text_scan_labelled(spark, sf):
-    """Texts written per source, scanned back through labels of which one has no file."""
+    """Texts written per source, their words counted by line through labels of which one has no file."""
     path = scratch_path(spark, "texts")
-    files.write_text(_pages(spark, sf, "source"), path, "act", part_bytes=PART_BYTES, id_col="page")
+    files.write_text(_table(spark, sf, "documents").select(F.col("source").alias("act"), "text"), path, "act", balanced=True)
     names = _table(spark, sf, "documents").select(F.col("source").alias("act")).distinct()
     absent = names.agg(F.concat(F.max("act"), F.lit("-absent")).alias("act"))
     labels = names.unionByName(absent).withColumn("file", F.concat(F.lit("act="), F.col("act")))
-    read = files.scan_labelled(spark, path, labels)
-    n_words = F.sum(F.size(text.words(F.col("text")))).alias("n_words")
-    return files.scan_status(spark, path, labels).join(
-        read.groupBy("act").agg(n_words), "act", "left"
-    ).select("act", "status", "n_words")
+    counts = splits.count_words(splits.scan_lines(spark, path, labels), "act")
+    return files.scan_status(spark, path, labels).join(counts, "act", "left").select("act", "status", "n_words")
+
+
+#: Ids of documents of a source that share a file.
+FILE_IDS = 1000
+
+
+def split_windows(spark, sf):
+    """Windows of files that hold many documents each, read split by split."""
+    path = scratch_path(spark, "split-files")
+    docs = _table(spark, sf, "documents")
+    name = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / FILE_IDS)).alias("name")
+    rows = docs.select(name, "doc_id", "text").repartition("name").sortWithinPartitions("name", "doc_id")
+    rows.select("name", "text").write.partitionBy("name").text(path)
+    labels = docs.select(F.col("source").alias("act"), F.concat(F.lit("name="), name).alias("file")).distinct()
+    return splits.scan_windows(spark, path, labels).select("act", "page", "chunk_ix", "chunk")
 
 
 def files_to_answers(spark, sf):
@@ -508,7 +588,8 @@ ALL: tuple[Query, ...] = (
     faithfulness_grid, run_log_roundtrip, hashed_embedding, tfidf_features,
     tfidf_model_roundtrip, tfidf_topk, term_idf, medallion_roundtrip, csv_roundtrip,
     text_scan_labelled, clean_default_rules, faithfulness_without_hits, rag_faithfulness_grid,
-    gold_layer_search, files_to_answers,
+    gold_layer_search, files_to_answers, knn_indexed, layered_answer, tfidf_indexed,
+    split_windows, run_comparison, rag_answers_stored, lake_refresh, stage_search,
 )
 
 

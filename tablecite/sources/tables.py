@@ -92,3 +92,28 @@ def read_layer(
     if schema is None:
         return spark.read.format(fmt).load(path)
     return spark.read.format(fmt).schema(schema).load(path).select(*schema.names)
+
+
+def write_bucketed(df: DataFrame, path: str, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write a table in ``buckets`` by the hash of its keys, sorted by them, and return it by its name in the catalog.
+
+    Joins and groupings on the keys read the buckets as they are: only the other side is shuffled, or
+    none if it has the same buckets. ``read_bucketed`` names the files to another session's catalog.
+    """
+    spread_out = df.repartition(buckets, *keys)  # one file per bucket
+    spread_out.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(
+    spark: SparkSession, path: str, name: str, schema: T.StructType, keys: Sequence[str], buckets: int
+) -> DataFrame:
+    """The table of ``write_bucketed`` in a session whose catalog does not know it yet."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        where = path.replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{where}'"
+        )
+    return spark.table(name)

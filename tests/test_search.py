@@ -84,18 +84,50 @@ def test_questions_over_budget_are_sliced(spark, monkeypatch):
     rng = np.random.default_rng(6)
     q, x = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(90, 4)).astype(np.float32)
     asked, corpus = frames(spark, q, x)
-    plans, own = [], search._broadcast
+    plans, own = [], search.met
 
-    def seen(*args):
-        plans.append(plan_of(own(*args)[0]))
-        return own(*args)
+    def seen(pairs, *args):
+        plans.append(plan_of(pairs))
+        return own(pairs, *args)
 
-    monkeypatch.setattr(search, "_broadcast", seen)
-    hits = search.knn(asked, corpus, 3, "qid", "key", broadcast_bytes=500)
-    assert len(plans) > 1 and all("Exchange" not in plan for plan in plans)
+    monkeypatch.setattr(search, "met", seen)
+    hits = search.knn(asked, corpus, 3, "qid", "key", strategy="slices", broadcast_bytes=500, block_bytes=200)
+    # The corpus is not shuffled, and the questions come from their table.
+    assert len(plans) > 1 and all("Exchange hashpartitioning" not in p and "RoundRobin" not in p for p in plans)
     same(ranked(hits), brute_force(q, x, 3))
 
 
+def test_no_question_vector_passes_through_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(9)
+    q, x = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(90, 4)).astype(np.float32)
+    asked, corpus = frames(spark, q, x)
+    taken, own = [], DataFrame.first
+
+    def first(df):
+        taken.append(df.columns)
+        return own(df)
+
+    def refused(*_):
+        raise AssertionError("rows went to the driver")
+
+    monkeypatch.setattr(DataFrame, "first", first)
+    for name in ("toArrow", "toPandas", "collect", "toLocalIterator", "take"):
+        if name not in ("collect", "take"):  # the counts themselves are fetched by those
+            monkeypatch.setattr(DataFrame, name, refused)
+    for strategy in ("auto", "slices"):
+        search.knn(asked, corpus, 3, "qid", "key", strategy=strategy, broadcast_bytes=700).write.format("noop").mode("overwrite").save()
+    assert all(not {"_q", "embedding"} & set(columns) for columns in taken)
+
+
+def test_long_question_vectors_are_refused_unless_measured(spark):
+    asked, corpus = frames(spark, np.zeros((1, search.MAX_DIM + 1)), np.zeros((2, search.MAX_DIM + 1)))
+    with pytest.raises(Exception, match="slices"):
+        search.knn(asked, corpus, 1, "qid", "key").collect()
+    assert search.knn(asked, corpus, 1, "qid", "key", strategy="slices").count() == 1
+
+
 def test_rows_without_a_vector_take_no_part(spark):
     asked = points(spark, [(0, [0.0, 0.0]), (1, None)], "qid")
     corpus = points(spark, [(5, [3.0, 4.0]), (4, None)], "key")
@@ -105,7 +137,10 @@ def test_rows_without_a_vector_take_no_part(spark):
 def test_plan_reads_the_corpus_in_place(spark):
     asked, corpus = frames(spark, np.zeros((3, 2)), np.zeros((9, 2)))
     plan = plan_of(search.knn(asked, corpus, 2, "qid", "key"))
-    assert plan.count("Exchange") == 1
+    # Hits are dealt by question and questions are gathered; the corpus stays where it is.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1
+    before = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange" not in before[before.index("BroadcastHashJoin") :]
     assert plan.count("WindowGroupLimit") == 2
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
@@ -152,8 +187,8 @@ def test_attach_broadcasts_only_below_its_bound(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" in plan_of(search.attach(hits, chunks, max_hits=100))
-        assert "SortMergeJoin" in plan_of(search.attach(hits, chunks, max_hits=10**7))
+        assert "BroadcastHashJoin" in plan_of(search.attach(hits, chunks, max_bytes=100))
+        assert "SortMergeJoin" in plan_of(search.attach(hits, chunks, max_bytes=10**9))
         assert "SortMergeJoin" in plan_of(search.attach(hits, chunks))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
