@@ -22,6 +22,8 @@ from tablecite.llm.storage import PLACE, placed, scratch, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Bytes of files per state store.
+STORE_BYTES = 32 << 20
 #: Repeated digests up to this number (32 bytes each) are broadcast to the scan of the hits.
 BROADCAST_DIGESTS = 200_000
 
@@ -38,6 +40,15 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+def state_stores(spark: SparkSession, folder: str) -> int:
+    """How many state stores a stream over ``folder`` needs: one per ``STORE_BYTES`` of files and one per core at
+    least, and no more than shuffles have partitions. Each store costs an executor some megabytes outside the heap."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-int(size) // STORE_BYTES)))
+
+
 def registry(
     spark: SparkSession, folder: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000
 ) -> DataFrame:
@@ -49,10 +60,12 @@ def registry(
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     # Else each of the stores, one per partition, reserves megabytes for its manifest.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # The number is kept with the checkpoint, so state is found again by a stream that goes on.
+    session.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(state_stores(spark, folder)))
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
         session.conf.set(name, spark.conf.get(name))

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablecite.llm import bpe, catalog, exact_dedup, language_id, minhash, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
+from tablecite.llm import bpe, catalog, exact_dedup, jaccard_join, language_id, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, digest int, score string, ids string"
@@ -377,14 +377,38 @@ def test_pipeline_keeps_one_of_each(spark, edge):
     assert set(corpus_pipeline.tokens(spark, docs, edge).columns) == {"doc_id", "source", "lang", "n_tokens", "ids"}
 
 
+def test_a_large_group_of_near_copies_keeps_one(spark, tmp_path):
+    # Every copy has two edits of 110 words: similarities to each other are about 0.7, to the first about 0.83.
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(110)]
+    texts = [" ".join(base)]
+    for i in range(3000):
+        words = list(base)
+        for at in (rng.randrange(0, 50), rng.randrange(60, 110)):
+            words[at] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    docs.write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_state_stores_follow_the_bytes_within_the_partitions(spark, tmp_path, monkeypatch):
+    spark.range(50_000).repartition(3).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(exact_dedup, "STORE_BYTES", 1000)
+    assert exact_dedup.state_stores(spark, str(tmp_path / "t")) == 8  # shuffles have no more partitions here
+    monkeypatch.setattr(exact_dedup, "STORE_BYTES", 1 << 40)
+    assert exact_dedup.state_stores(spark, str(tmp_path / "t")) == min(8, spark.sparkContext.defaultParallelism)
+
+
 def slow_shingles(text: str) -> set:
     found = text.lower().split()
     return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, min(len(found), 1)))}
 
 
-@pytest.mark.parametrize("hot", [minhash.HOT, 25])
-def test_pipeline_near_duplicates_are_those_of_brute_force(spark, tmp_path, monkeypatch, hot):
-    monkeypatch.setattr(minhash, "HOT", hot)
+@pytest.mark.parametrize("tile", [jaccard_join.TILE, 7])
+def test_pipeline_near_duplicates_are_those_of_brute_force(spark, tmp_path, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join.one_of_each, "__defaults__", (tile,))
     rng = random.Random(8)
     texts = []
     for family, (n, copies) in enumerate([(300, 3)] * 30 + [(150, 60), (900, 4), (6, 3), (3, 2)]):
