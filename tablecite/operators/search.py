@@ -182,7 +182,8 @@ def stored_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     hits.write.parquet(path)
     hits = hits.sparkSession.read.schema(hits.schema).parquet(path)
     held = hits.agg(F.coalesce(F.sum(_key_bytes(hits, keys) + 24), F.lit(0))).first()[0]
-    return hits, int(held)
+    # All ranks pass; by the filter Spark sees that hits can prune the partitions of a layer.
+    return hits.where(F.col("rank") > 0), int(held)
 
 
 def cosine_topk(

@@ -74,14 +74,15 @@ def build_from_files(
     dim: int = 384,
     clean: bool = False,
     min_chars: int = 100,
+    keyed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Labelled whole files to a chunk CSV and a gold table; returns (status, gold).
+    """Labelled whole files, or texts by name (``keyed``), to a chunk CSV and a gold table; returns (status, gold).
 
     Absent files are skipped and reported in the status table. Without any
     chunk at all this stops.
     """
-    status = files.scan_status(spark, root, labels)
-    texts = files.scan_labelled(spark, root, labels)
+    status = (files.keyed_status if keyed else files.scan_status)(spark, root, labels)
+    texts = (files.scan_keyed if keyed else files.scan_labelled)(spark, root, labels)
     if clean:
         texts = clean_corpus(texts)
     chunks = chunk_words(texts, min_chars=min_chars, inclusive=True)

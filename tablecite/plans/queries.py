@@ -560,16 +560,15 @@ def split_windows(spark, sf):
 
 
 def files_to_answers(spark, sf):
-    """From raw files to answers in the asked language: clean into one file per input,
+    """From raw texts in files to answers in the asked language: clean into other files,
     chunk, embed, store, read back, search, answer, translate."""
     path = scratch_path(spark, "files")
     raw, cleaned = f"{path}/raw", f"{path}/cleaned"
-    pages = _furnished(spark, sf)
-    files.write_text(pages, raw, "page")
-    labels = pages.select(F.concat(F.lit("page="), "page").alias("file"), "act")
-    texts = clean.clean_corpus(files.scan_labelled(spark, raw, labels))
-    files.write_text(texts.withColumn("page", F.substring("page", 6, 20)), cleaned, "page")
-    _, gold = pipelines.build_from_files(spark, cleaned, labels, path)
+    pages = _furnished(spark, sf).withColumn("name", F.concat(F.lit("page="), "page"))
+    files.write_keyed(pages, raw, "name")
+    labels = pages.select(F.col("name").alias("file"), "act")
+    files.write_keyed(clean.clean_corpus(files.scan_keyed(spark, raw, labels)), cleaned, "file")
+    _, gold = pipelines.build_from_files(spark, cleaned, labels, path, keyed=True)
     n_chunks = files.read_chunks_csv(spark, f"{path}/chunks_csv").count()
     asked = embed(_questions(spark, sf), "question")
     answers = pipelines.answer_extractively(asked, gold, None, 10, QID, KEY, MARGIN)

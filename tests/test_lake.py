@@ -82,6 +82,19 @@ def test_parts_grow_with_the_bytes_of_a_key_and_copies_are_spread(spark, tmp_pat
     assert any("no key" in r["value"] for r in spark.read.text(str(tmp_path / "sized")).collect())
 
 
+def test_texts_by_name_share_files(spark, tmp_path):
+    rows = [(f"n {i}", f"one\r\ntwo {i}\n\u00e9 \"x\"") for i in range(50)] + [("blank", None), ("unnamed", "x")]
+    path = str(tmp_path / "keyed")
+    files.write_keyed(spark.createDataFrame(rows, "name string, text string").coalesce(2), path, "name")
+    labels = spark.createDataFrame([(n, "A") for n, _ in rows[:-1]] + [("absent", "B")], LABELS)
+    read = files.scan_keyed(spark, path, labels)
+    got = {r["file"]: r["text"] for r in read.collect()}
+    assert got == {n: (t or "").replace("\r\n", "\n") for n, t in rows[:-1]} and len(read.inputFiles()) == 2
+    assert {r["file"] for r in files.keyed_status(spark, path, labels).where("status = 'missing'").collect()} == {"absent"}
+    status, gold = pipelines.build_from_files(spark, path, labels, str(tmp_path / "out"), dim=8, min_chars=5, keyed=True)
+    assert gold.count() == 50 and status.count() == 52
+
+
 def test_no_file_at_all_gives_no_rows(spark, folder):
     labels = spark.createDataFrame([("none.txt", "N")], LABELS)
     assert files.scan_labelled(spark, str(folder), labels).collect() == []
