@@ -12,17 +12,20 @@ whatever the size of the table; scoring is an expression again.
 
 Positions are code points, end exclusive. Edges: a null text counts as empty and has no
 spans; a candidate that overlaps a base span is not added; without candidates nothing
-is. Repeated rows have the same spans. An empty table gives no rows.
+is. Repeated rows have the same spans. An empty table gives no rows. A text is one row; work
+on it grows with its length, and with its n matches as n times the square root of n.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecite.functions.text import let
 from tablecite.llm.storage import written
 
 #: Kinds in the order they are listed. Patterns give the leftmost matches that do not
@@ -69,22 +72,75 @@ AROUND = {
 }
 LABELERS = ["form", "listed", "around"]
 WINDOW = 32
+#: Beyond any place in a text.
+FAR = 2**31 - 1
+
+
+#: Code points of a piece of text that is looked at for what stands around a match.
+PAGE = 1024
+
+
+def _running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers what all earlier ones combine to.
+
+    Arrays are built block by block of the square root of their length, so that no more than that is copied per value.
+    """
+
+    def prefix(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+
+        return F.aggregate(part, state, step, lambda acc: acc["out"])
+
+    def in_blocks(all_: Column) -> Column:
+        def cut(width: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(all_) - 1, width), lambda at: F.slice(all_, at + 1, width))
+
+        def joined(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda a, x: combine(a, x)))
+            return F.flatten(F.zip_with(blocks, prefix(totals, zero), prefix))
+
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.when(F.size(all_) > 0, let(width, lambda w: let(cut(w), joined))).otherwise(F.array().cast("array<int>"))
+
+    return let(values, in_blocks)
 
 
 def _found(text: Column, pattern: str) -> Column:
     """Matches with their code-point positions, from the lengths of matches and of what is between."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out"))
+    pairs = F.zip_with(matches, F.split(text, pattern, -1), lambda m, g: F.struct(g.alias("gap"), m.alias("span")))
+
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["span"]))
+
+        def item(pair: Column, at: Column) -> Column:
+            begin = at + F.char_length(pair["gap"])
+            return F.struct(begin.alias("start"), (begin + F.char_length(pair["span"])).alias("end"), pair["span"].alias("span"))
+
+        return F.zip_with(pairs, _running(lengths, F.lit(0), lambda a, b: a + b), item)
+
+    # The last piece between matches has no match behind it.
+    return let(F.filter(pairs, lambda p: p["span"].isNotNull()), placed)
+
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["span"])
-        item = F.struct(begin.alias("start"), end.alias("end"), pair["span"].alias("span"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+def _around(pages: Column, start: Column, end: Column) -> Column:
+    """The text before and after a match, from pages of the text: a whole text would be walked through for each."""
 
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, g: F.struct(g.alias("gap"), m.alias("span")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def page(i: Column) -> Column:
+        return F.coalesce(F.get(pages, i), F.lit(""))
+
+    def page_of(at: Column) -> Column:
+        return F.floor(at / PAGE).cast("int")
+
+    from_ = F.greatest(start - WINDOW, F.lit(0))
+    base = F.greatest((page_of(start) - 1) * PAGE, F.lit(0))
+    left = F.when(base == 0, F.concat(page(F.lit(0)), page(F.lit(1)))).otherwise(F.concat(page(page_of(start) - 1), page(page_of(start))))
+    right = F.concat(page(page_of(end)), page(page_of(end) + 1))
+    before = F.substring(left, from_ - base + 1, start - from_)
+    return F.lower(F.concat_ws(" ", before, F.substring(right, end - page_of(end) * PAGE + 1, F.lit(WINDOW))))
 
 
 def _digits(span: Column) -> Column:
@@ -122,12 +178,11 @@ def _vote(pattern: str | None, value: Column) -> Column:
     return F.lit(-1) if pattern is None else value.rlike(pattern).cast("int")
 
 
-def _judged(text: Column, kind: str, spans: Column, form: str | None, base: bool) -> Column:
+def _judged(pages: Column, kind: str, spans: Column, form: str | None, base: bool) -> Column:
     """Candidates of one kind with their votes (1, 0, or -1 for none) and whether the base rules accept them."""
 
     def judge(s: Column) -> Column:
-        before = F.greatest(s["start"] - WINDOW, F.lit(0))
-        around = F.lower(F.concat_ws(" ", F.substring(text, before + 1, s["start"] - before), F.substring(text, s["end"] + 1, F.lit(WINDOW))))
+        around = _around(pages, s["start"], s["end"])
         valid = _valid(kind, s["span"]) if base else F.lit(False)
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
@@ -158,9 +213,10 @@ def candidates(docs: DataFrame) -> DataFrame:
             need = needs.get(kind) if prefix == "b" else None
             need = text.rlike(pattern) if need is None else need
             found[f"{prefix}_{kind}"] = F.when(need, _found(text, pattern)).otherwise(none)
-    spans = rows.select("doc_id", "text", *(c.alias(n) for n, c in found.items()))
-    judged = [_judged(text, k, F.col(f"b_{k}"), None, True) for k in BASE]
-    judged += [_judged(text, k, F.col(f"w_{k}"), FORM[k], False) for k in WIDE]
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)).alias("pages")
+    spans = rows.select("doc_id", pages, *(c.alias(n) for n, c in found.items()))
+    judged = [_judged(F.col("pages"), k, F.col(f"b_{k}"), None, True) for k in BASE]
+    judged += [_judged(F.col("pages"), k, F.col(f"w_{k}"), FORM[k], False) for k in WIDE]
     return spans.select("doc_id", F.concat(*judged).alias("spans"))
 
 
@@ -233,15 +289,25 @@ def find_pii(docs: DataFrame) -> DataFrame:
     columns = ["kind", "base", *LABELERS, "length"]
     patterns = [r.asDict() for r in votes.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).collect()]
     weights = classifier(patterns, reliabilities(patterns))
-    base = F.filter("spans", lambda s: s["base"])
-    added = F.filter(
-        "spans",
-        lambda s: ~s["base"]
-        & _accepted(s, weights)
-        & ~F.exists(F.filter("spans", lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("from"), (~s["base"]).alias("late"), s.alias("s"))))
+
+    def kept(spans: Column) -> Column:
+        """Base spans, and accepted ones that overlap none: neither one that starts before, nor the next that starts."""
+        reach = _running(F.transform(spans, lambda x: F.when(x["late"], -1).otherwise(x["s"]["end"])), F.lit(-1), F.greatest)
+        starts = F.transform(F.reverse(spans), lambda x: F.when(x["late"], FAR).otherwise(x["from"]))
+        following = F.reverse(_running(starts, F.lit(FAR), F.least))
+        near = F.zip_with(reach, following, lambda r, f: F.struct(r.alias("reach"), f.alias("next")))
+        judged = F.zip_with(
+            spans,
+            near,
+            lambda x, n: F.when(
+                x["s"]["base"] | (_accepted(x["s"], weights) & (n["reach"] <= x["from"]) & (n["next"] >= x["s"]["end"])), x["s"]
+            ),
+        )
+        return F.filter(judged, lambda s: s.isNotNull())
+
     narrow = F.transform(
-        F.concat(base, added),
+        let(ordered, kept),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")),
     )
     return found.select("doc_id", F.array_sort(narrow).alias("spans"))
