@@ -8,7 +8,8 @@ broadcast. Scoring sums the matrix columns of a text's buckets in numpy.
 
 Edges: a text that is null, empty or without a letter is ``und`` with score 0. If no
 row can be learned from, every text is ``und``. Of equally likely languages the first
-by name wins. Rows with null ``lang`` are scored but never learned from.
+by name wins. Rows with null ``lang`` are scored but never learned from. The matrix has at most
+``MODEL_BYTES``: beyond 512 languages the number of buckets is halved until it fits, and more grams share one.
 """
 
 from __future__ import annotations
@@ -36,10 +37,8 @@ def fold(row_id: Column, folds: int) -> Column:
 
 
 def _letters() -> np.ndarray:
-    """For each code point whether it is a letter; the planes above the first count by block."""
-    flags = np.zeros(0x110000, bool)
-    flags[:0x30000] = [chr(c).isalpha() for c in range(0x30000)]
-    return flags
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 class Grams:
