@@ -11,7 +11,8 @@ is an example for, that of each clean one and a random one are examples against.
 logistic fit on rows kept out of training turns window logits into probabilities.
 
 Training takes at most ``max_rows`` labelled documents, half of each class and in the
-order of a hash, as many as ``max_bytes`` of whole texts allow; this bounded sample is
+order of a hash, as many as half of ``max_bytes`` of whole texts allows for each class; texts beyond ``max_text``
+bytes are not learned from, and do not end the sample. This bounded sample is
 what the driver holds. Since all is linear, the model that scores is one number per
 bucket. Scoring reads every whole text.
 
@@ -36,6 +37,8 @@ WINDOW = 5
 GRAMS = (3, 4, 5)
 MAX_ROWS = 4000
 MAX_BYTES = 32 << 20
+#: A longer text is not learned from.
+MAX_TEXT = 1 << 20
 ROUNDS = 6
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])
 _STOPS = bytes.maketrans(b".,;:!?()\"'[]{}\n\t\r\x0b\x0c", b" " * 19)
@@ -190,19 +193,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list, list]:
+def sample(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT
+) -> tuple[list, list]:
     """Whole texts and labels of a bounded sample, the same in every run."""
     marked = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    half = max_rows // 2
+    size = F.octet_length("text").cast("long").alias("bytes")
+    fitting = docs.select("doc_id", "text", size).filter(F.col("bytes") <= max_text)
+    # Lengths first; of rows with one id the shortest text, then the first, is its text.
+    sized = fitting.drop("text").join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("bytes").alias("bytes"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [marked.filter(F.col("toxic") == c).orderBy(*by_hash).limit(half) for c in (0, 1)]
+    total = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(*by_hash))
+
+    def chosen(toxic: int) -> DataFrame:
+        some = sized.filter(F.col("toxic") == toxic).orderBy(*by_hash).limit(max_rows // 2)
+        return some.withColumn("total", total).filter(F.col("total") <= max_bytes // 2).select("doc_id", "toxic")
+
     # At most max_rows identifiers: a bound that makes the broadcast safe.
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").filter("text is not null")
-    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*by_hash, "text"))
-    # One window over at most max_rows identifiers' rows.
-    bounded = rows.orderBy(*by_hash, "text").limit(max_rows).withColumn("bytes", size).filter(F.col("bytes") <= max_bytes)
-    found = bounded.orderBy(*by_hash, "text").select("text", "toxic").collect()
+    ids = F.broadcast(chosen(0).unionByName(chosen(1)))
+    first = F.min(F.struct("bytes", "text")).alias("first")
+    texts = fitting.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(first)
+    found = texts.orderBy(*by_hash).select("first.text", "toxic").collect()
     return [r["text"] for r in found], [int(r["toxic"]) for r in found]
 
 
