@@ -97,6 +97,43 @@ def test_questions_over_budget_are_sliced(spark, monkeypatch):
     same(ranked(hits), brute_force(q, x, 3))
 
 
+def test_corpus_vectors_are_made_once_for_all_slices(spark, tmp_path):
+    log = tmp_path / "loads"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("load\n")
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    texts = spark.range(95, numPartitions=2).selectExpr("CAST(id AS INT) AS key", "repeat('x', CAST(id AS INT)) AS t")
+    asked = points(spark, [(i, [float(i), 1.0]) for i in range(50)], "qid")
+    hits = search.knn(asked, embed(texts, "t", embedder=load), 1, "qid", "key", strategy="slices", broadcast_bytes=500, block_bytes=200)
+    assert ranked(hits) == [(i, i, 0.0, 1) for i in range(50)]
+    assert log.read_text().count("load") == 2
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_bounds_from_a_share_of_the_packs_keep_hits_exact_and_rows_few(spark, monkeypatch, slices):
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(60, 6)).astype(np.float32), rng.normal(size=(8000, 6)).astype(np.float32)
+    x[100:160] = x[7]
+    q[4] = x[7]
+    asked, corpus = frames(spark, q, x)
+    passed, own = [], search.met
+
+    def seen(pairs, *args):
+        rows = own(pairs, *args)
+        passed.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(search, "SHARE", 4)
+    monkeypatch.setattr(search, "met", seen)
+    hits = search.knn(asked, corpus.repartition(40), 5, "qid", "key", strategy="slices", block_bytes=3000, broadcast_bytes=1 << 20 if slices == 1 else 1500)
+    same(ranked(hits), brute_force(q, x, 5))
+    # Without bounds each of the 40 tasks passes on 5 rows per question and more.
+    assert passed[-1] < 60 * 5 * 20 and len(passed) > 2
+
+
 def test_no_question_vector_passes_through_the_driver(spark, monkeypatch):
     from pyspark.sql import DataFrame
 
