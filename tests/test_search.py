@@ -265,6 +265,19 @@ def test_model_loads_once_per_task_and_sees_small_batches(spark, tmp_path):
     assert log.read_text().count("load") == 2
 
 
+def test_embedding_very_many_words_takes_bounded_memory():
+    import tracemalloc
+
+    encode = hashed_embedder(8)()
+    tracemalloc.start()
+    try:
+        for lo in range(0, 400_000, 10_000):
+            encode([" ".join(f"word{i}" for i in range(lo, lo + 10_000))])
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_unused_vectors_are_pruned(spark):
     df = spark.createDataFrame([("a",)], "t string")
     assert "Python" not in plan_of(embed(df, "t").select("t"))
