@@ -187,5 +187,6 @@ def arrow_map(df: DataFrame, added: T.StructType, make: Callable[[], Callable[[p
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names)
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks beside the JVM
 
     return df.mapInArrow(run, schema)

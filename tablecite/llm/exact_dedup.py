@@ -60,7 +60,9 @@ def registry(
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
+    # Memory outside the heap stays with the executor after the stream: blocks of state beyond this go to its files.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     # Else each of the stores, one per partition, reserves megabytes for its manifest.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")

@@ -91,6 +91,15 @@ def test_exact_groups(spark, edge, texts):
     assert Counter(r["text_sha256"] for r in rows if r["kept"]) == Counter(groups.keys())
 
 
+def test_state_stores_share_a_small_budget(spark, edge, monkeypatch):
+    made, own = [], type(spark).newSession
+    monkeypatch.setattr(type(spark), "newSession", lambda session: made.append(own(session)) or made[-1])
+    state = exact_dedup.registry(spark, f"{edge}/documents.parquet")
+    assert state.agg(F.sum("group_size")).first()[0] == spark.read.parquet(f"{edge}/documents.parquet").count()
+    prefix = "spark.sql.streaming.stateStore.rocksdb."
+    assert int(made[0].conf.get(f"{prefix}maxMemoryUsageMB")) <= 64 and int(made[0].conf.get(f"{prefix}writeBufferSizeMB", "64")) <= 4
+
+
 def test_colliding_digests_are_told_apart_by_their_bytes(spark, edge):
     def weak(text):
         return F.encode((F.char_length(text) % 2).cast("string"), "UTF-8")
