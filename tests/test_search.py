@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tablecite.operators import search, tfidf
+from tablecite.operators import packs, search, tfidf
 from tablecite.operators.embed import embed, hashed_embedder
+from tablecite.operators.topk import DenseL2
 from tests.plans import plan_of
 
 
@@ -340,3 +343,25 @@ def test_pipeline_survives_saving(spark, tmp_path):
     again = type(model).load(str(tmp_path / "m"))
     a, b = (tfidf.tfidf_features(m, docs, "chunk", ["key"]) for m in (model, again))
     assert a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("n_rows", [10, 40, 900])
+def test_few_rows_beyond_the_k_best_of_a_block_are_measured(n_rows):
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(50, 16)).astype(np.float32), rng.normal(size=(n_rows, 16)).astype(np.float32)
+
+    def lists(m):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, 16), pa.int32()), pa.array(m.ravel()))
+
+    metric = DenseL2(lists(q))
+    metric.load(lists(x))
+    far = np.full(50, np.inf)
+    found = [(i, j) for a, b, _ in metric.candidates(far, 3, np.arange(n_rows)) for i, j in zip(a.tolist(), b.tolist())]
+    assert {(i, j) for i, j, _, _ in brute_force(q, x, 3)} <= set(found)
+    assert len(found) < 2 * 3 * 50
+
+
+def test_packs_of_vectors_of_words_are_small(spark):
+    vectors = embed(spark.createDataFrame([(i, f"public office {i}") for i in range(300)], "qid int, question string"), "question")
+    pack = packs.packed(vectors.select("qid", F.col("embedding").alias("_q")).coalesce(1), "_q").first()
+    assert pack["_rows"] == 300 and pack["_bytes"] == len(pack["_pack"]) < 300 * 4 * 384 / 10
