@@ -50,6 +50,14 @@ def test_common_features_are_skipped_by_their_bound(spark, tmp_path, monkeypatch
     assert n[True] > 10 * n[False]
 
 
+def test_no_join_makes_a_row_per_question_and_posting(spark, tmp_path):
+    docs, asked = corpus_texts(spark)
+    fitted = tfidf.fit_tfidf(docs, n_features=64)
+    index = postings.build_postings(fitted, docs, str(tmp_path / "p"), "key")
+    plan = plan_of(postings.postings_topk(fitted, asked, index, 5, "qid", "key"))
+    assert "MapInArrow" in plan and "feature" not in plan
+
+
 # ---- sentences ---------------------------------------------------------------
 
 
