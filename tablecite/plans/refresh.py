@@ -94,15 +94,14 @@ def refresh_lake(
 
     def overwrite(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*WHERE).parquet(f"{path}/{name}")
-        return _those(spark.read.schema(df.schema).parquet(f"{path}/{name}"), changed, n)
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     if n:
-        again = stored(_those(now, changed, n), "pages")
-        bronze = overwrite(conform(again, T.StructType([*BRONZE, T.StructField("part", T.IntegerType())])), "bronze")
-        # Partitions that lost their last page are not overwritten: they must not be read below.
-        bronze = bronze.join(again.select(*WHERE).distinct(), WHERE, "left_semi")
-        silver = overwrite(chunk_words(bronze.select("act", "page", "text", "part")), "silver")
-        silver = silver.join(again.select(*WHERE).distinct(), WHERE, "left_semi")
+        # Partitions that lost their last page are not overwritten: they must not be read below. By this list no text is shuffled.
+        present = stored(_those(digests, changed, n).select(*WHERE).distinct(), "present")
+        again = conform(_those(now, changed, n), T.StructType([*BRONZE, T.StructField("part", T.IntegerType())]))
+        bronze = _those(overwrite(again, "bronze"), present, n)
+        silver = _those(overwrite(chunk_words(bronze.select("act", "page", "text", "part")), "silver"), present, n)
         overwrite(embed(silver, "chunk", embedder=embedder, dim=dim), "gold")
         _those(digests, changed, n).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*WHERE).parquet(f"{path}/digests")
         digests.select(*WHERE).distinct().coalesce(1).write.mode("overwrite").parquet(f"{path}/live")

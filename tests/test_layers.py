@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import numpy as np
 import pytest
@@ -237,6 +238,27 @@ def test_a_refresh_touches_what_changed_and_equals_a_full_build(spark, tmp_path)
     assert back.layers.bronze.where("act = 'c'").count() == 1
 
 
+def test_a_refresh_shuffles_no_text(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def seen(df, *args, _of, **named):
+        plans.append(plan_of(df))
+        return _of(df, *args, **named)
+
+    for step in ("chunk_words", "embed"):
+        monkeypatch.setattr(refresh, step, partial(seen, _of=getattr(refresh, step)))
+    rows = [(act, p, f"{act} {p} " + "word " * 60) for act in ("a", "b") for p in range(6)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that Spark would not broadcast
+    try:
+        refresh.refresh_lake(lake_pages(spark, rows), str(tmp_path / "lake"), dim=8)
+        found = refresh.refresh_lake(lake_pages(spark, rows[1:]), str(tmp_path / "lake"), dim=8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.layers.gold.count() == 11
+    assert len(plans) == 4 and not any("Exchange hashpartitioning" in p for p in plans)
+
+
 def test_a_lake_of_nothing(spark, tmp_path):
     empty = refresh.refresh_lake(lake_pages(spark, []), str(tmp_path / "none"), dim=8)
     assert [df.count() for df in (empty.layers.bronze, empty.layers.silver, empty.layers.gold)] == [0, 0, 0]
