@@ -4,7 +4,7 @@ Files are scanned as Spark splits them. A first pass counts the words of each sp
 of these counts over the splits of a file say at which word of the file a split begins. A second pass
 goes through the lines of each split in order and emits the windows of ``chunk_words``: whole ones, and
 pieces of those that reach over an edge of the split. Pieces are stitched per window. Rows are
-lines, windows and counts: no row, group or task holds a file.
+lines, windows and counts: no row, group or task holds a file. Labels meet the counts of splits, not the lines.
 
 Lines end at ``\\n``, ``\\r\\n`` or ``\\r``, or at ``line_sep``; a file without line breaks is read with a space as ``line_sep``.
 The split size is the session's ``spark.sql.files.maxPartitionBytes``. Bad bytes are dropped as in ``files``.
@@ -27,8 +27,12 @@ SPLIT = ["path", "act", "start"]
 BROADCAST_SPLITS = 200_000
 
 
-#: Labels up to this number are broadcast to the lines.
-BROADCAST_LABELS = files.LISTED
+def _file_lines(spark: SparkSession, read: list[str] | str, root: str, line_sep: str | None) -> DataFrame:
+    """Lines of the text files that are read: ``file``, ``page``, ``path``, ``start``, ``at`` and ``text``."""
+    raw = spark.read.text(read, recursiveFileLookup=True, lineSep=line_sep)
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    lines = raw.select(*files.names_below(root), *place, F.monotonically_increasing_id().alias("at"), "value")
+    return lines.select("file", "page", "path", "start", "at", files.decoded(F.col("value")).alias("text"))
 
 
 def scan_lines(spark: SparkSession, root: str, labels: DataFrame, line_sep: str | None = None) -> DataFrame:
@@ -40,13 +44,11 @@ def scan_lines(spark: SparkSession, root: str, labels: DataFrame, line_sep: str
     read = files.named_files(spark, root, labels)
     if read is None:
         return labels.limit(0).selectExpr("act", "file", "file AS page", "file AS path", "0L AS start", "0L AS at", "file AS text")
-    raw = spark.read.text(read, recursiveFileLookup=True, lineSep=line_sep)
-    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
-    lines = raw.select(*files.names_below(root), *place, F.monotonically_increasing_id().alias("at"), "value")
+    lines = _file_lines(spark, read, root, line_sep)
     # Paths that were listed have few labels: the lines stay in place.
     named = labels.select("file", "act")
     named = lines.join(F.broadcast(named) if read != root else named, "file")
-    return named.select("act", "file", "page", "path", "start", "at", files.decoded(F.col("value")).alias("text"))
+    return named.select("act", "file", "page", "path", "start", "at", "text")
 
 
 def count_words(lines: DataFrame, *by: str) -> DataFrame:
@@ -54,13 +56,14 @@ def count_words(lines: DataFrame, *by: str) -> DataFrame:
     return lines.groupBy(*by).agg(F.sum(F.size(words(F.col("text")))).cast("long").alias("n_words"))
 
 
-def split_offsets(lines: DataFrame) -> DataFrame:
-    """(path, act, start, before, total): words of a file before each split, and in all of it."""
-    counts = count_words(lines, *SPLIT)
+def split_offsets(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """(act, file, page, path, start, before, total): words of a labelled file before each split, and in all of it."""
+    names = labels.select("file", "act").distinct()
+    counts = count_words(lines, "file", "page", "path", "start").join(names, "file")
     of_file = Window.partitionBy("path", "act")
     earlier = of_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_words").over(earlier), F.lit(0)).alias("before")
-    return counts.select(*SPLIT, before, F.sum("n_words").over(of_file).alias("total"))
+    return counts.select("act", "file", "page", "path", "start", before, F.sum("n_words").over(of_file).alias("total"))
 
 
 def scan_windows(
@@ -79,15 +82,18 @@ def scan_windows(
     """
     if size <= overlap:
         raise ValueError("overlap must be smaller than size")
-    lines = scan_lines(spark, root, labels, line_sep)
+    read = files.named_files(spark, root, labels)
+    if read is None:
+        return labels.limit(0).selectExpr("act", "file", "file AS page", "0 AS chunk_ix", "file AS chunk")
+    lines = _file_lines(spark, read, root, line_sep)
     path = scratch_path(spark, "split-offsets")
-    split_offsets(lines).write.parquet(path)
+    split_offsets(lines, labels).write.parquet(path)
     offsets = spark.read.parquet(path)
-    rows = lines.select("act", "file", "page", "path", "start", "at", "text")
-    if offsets.count() <= BROADCAST_SPLITS and labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
-        ordered = rows.join(F.broadcast(offsets), SPLIT)
+    rows, at = lines.select("path", "start", "at", "text"), ["path", "start"]
+    if offsets.count() <= BROADCAST_SPLITS:
+        ordered = rows.join(F.broadcast(offsets), at)
     else:  # joins that move lines lose their order
-        ordered = rows.join(offsets, SPLIT).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "at")
+        ordered = rows.join(offsets, at).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "at")
     pieces = _pieces(ordered.drop("at"), size, size - overlap)
 
     keys = ["act", "file", "page", "path", "chunk_ix"]
@@ -103,7 +109,7 @@ def scan_windows(
 def _pieces(lines: DataFrame, size: int, step: int) -> DataFrame:
     """Windows that lie in one split, with null ``place``, and pieces of others with the place of their first word.
 
-    Lines of a split follow each other.
+    Lines of a split follow each other; those of a file with several acts once per act.
     """
     names = ["act", "file", "page", "path"]
 
@@ -136,20 +142,25 @@ def _pieces(lines: DataFrame, size: int, step: int) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             return pa.RecordBatch.from_arrays(columns, [*names, "chunk_ix", "place", "chunk"])
 
-        split, start, out = None, None, []
+        split, block, out = {}, None, []  # of one split of a file, by act
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in [*names, "start", "before", "total", "text"]]
-            for *key, block, before, total, text in zip(*columns):
-                if split is None or split.key != tuple(key) or start != block:
-                    out += split.emit(True) if split else []
-                    split, start = Split(tuple(key), before, total), block
-                split.words += text.split()
-                if len(split.words) >= 16 * size:
-                    out += split.emit(False)
+            for act, file, page, path, start, before, total, text in zip(*columns):
+                if block != (path, start):
+                    for held in split.values():
+                        out += held.emit(True)
+                    split, block = {}, (path, start)
+                if act not in split:
+                    split[act] = Split((act, file, page, path), before, total)
+                held = split[act]
+                held.words += text.split()
+                if len(held.words) >= 16 * size:
+                    out += held.emit(False)
                 if len(out) >= 256:
                     yield batch_of(out)
                     out = []
-        out += split.emit(True) if split else []
+        for held in split.values():
+            out += held.emit(True)
         if out:
             yield batch_of(out)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecite.operators.chunk import chunk_words
 from tablecite.sources import files, splits
+from tests.plans import plan_of
 
 LABELS = "file string, act string"
 SPLIT = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
@@ -89,6 +90,23 @@ def test_order_survives_joins_that_move_lines(spark, root, labels, small_splits,
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_many_labels_move_no_line(spark, root, labels, small_splits, monkeypatch):
+    labels = labels.unionByName(spark.createDataFrame([("long.txt", "also")], LABELS))
+    want = rows(chunk_words(files.scan_labelled(spark, root, labels)))
+    plans, pieces = [], splits._pieces
+
+    def seen(lines, *args):
+        plans.append(plan_of(lines))
+        return pieces(lines, *args)
+
+    monkeypatch.setattr(splits, "_pieces", seen)
+    monkeypatch.setattr(files, "LISTED", 1)
+    monkeypatch.setattr(splits, "BROADCAST_LABELS", 1, raising=False)  # as it was with more than 10,000 labels
+    small_splits(20_000)
+    assert rows(splits.scan_windows(spark, root, labels)) == want and any(r[0] == "also" for r in want)
+    assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0]
+
+
 def test_counts_by_line_and_no_files(spark, root, labels):
     counts = {r["act"]: r["n_words"] for r in splits.count_words(splits.scan_lines(spark, root, labels), "act").collect()}
     assert counts["E"] == 448 * 3 + 64 and counts["B"] == 0 and "A" not in counts
