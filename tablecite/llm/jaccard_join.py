@@ -15,7 +15,8 @@ documents in ``SLOTS`` slots; any order is right, this one keeps columns short.
    block: rows of different blocks are proven not to link, so the matrix is block-diagonal.
 2. All columns, block by block. A block beyond ``TILE`` rows is cut into tiles again. The texts
    of a tile's rows are read anew and n-grams are numbered by their words, not hashed. Overlaps are
-   accumulated over slices of ``COLUMNS`` columns; after each slice, rows none of whose pairs can still
+   accumulated over slices of columns, rare ones first: columns that few rows hold are multiplied as lists of their rows, so that the work
+   follows the entries of the matrix, and the rest in dense slices of ``COLUMNS``; after each slice, rows none of whose pairs can still
    reach the bound from the columns that are left drop out. A tile returns per row the number of its
    links and a forest of them. No link is lost: every pair of a block is in one tile.
 
@@ -44,8 +45,12 @@ from tablecite.llm.storage import at_places, stored, written
 NGRAM, PERCENT = 4, 85
 #: Rows of a side of a tile.
 TILE = 1024
-#: Columns that are multiplied at once.
+#: Columns that are multiplied at once as a dense slice.
 COLUMNS = 4096
+#: A column that at most one in so many rows holds is multiplied as a list.
+RARE = 16
+#: Pairs of entries that lists give at once, about.
+ENTRIES = 1 << 20
 #: Slots of the counts that order the n-grams.
 SLOTS = 1 << 18
 SLAB = 4 << 20
@@ -271,29 +276,59 @@ def numbered(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys // top, keys % top
 
 
+def listed(row: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Overlaps of the left with the right rows, of ``n``, from entries sorted by column: one addition for every two entries of a column."""
+    places = []
+    for rows in (left, right):
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        some = place[row] >= 0
+        places.append((place[row[some]], column[some] - column[0]))
+    (i, of), (j, held) = places
+    count = np.bincount(held, minlength=int(column[-1] - column[0]) + 1)
+    start = np.cumsum(count) - count
+    times = count[of]
+    at = np.arange(int(times.sum())) + np.repeat(start[of] - (np.cumsum(times) - times), times)
+    cell = np.repeat(i, times) * len(right) + j[at]
+    return np.bincount(cell, minlength=len(left) * len(right)).reshape(len(left), len(right)).astype(np.float32)
+
+
+def sliced(row: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The same by a dense product, for columns that many rows hold."""
+    part = np.zeros((n, int(column[-1] - column[0]) + 1), np.float32)
+    part[row, column - column[0]] = 1
+    return part[left] @ part[right].T
+
+
 def product(row: np.ndarray, column: np.ndarray, n: np.ndarray, side: np.ndarray, two: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that link, from an incidence (row, column); only between the sides if there are two."""
     left, right = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if two else (np.arange(len(n)),) * 2
     # Only columns that both sides have, or that two rows have, can add to an overlap.
     n_columns = int(column.max()) + 1
+    held = np.bincount(column, minlength=n_columns)
     if two:
         on_left = np.bincount(column[side[row] == side.min()], minlength=n_columns) > 0
         useful = on_left & (np.bincount(column[side[row] == side.max()], minlength=n_columns) > 0)
     else:
-        useful = np.bincount(column, minlength=n_columns) > 1
-    number = np.cumsum(useful) - 1
+        useful = held > 1
+    by_held = np.flatnonzero(useful)
+    by_held = by_held[np.argsort(held[by_held], kind="stable")]
+    held, number = held[by_held], np.full(n_columns, -1)
+    number[by_held] = np.arange(len(by_held))
     keep = useful[column]
     row, column = row[keep], number[column[keep]]
     by_column = np.argsort(column, kind="stable")
     row, column = row[by_column], column[by_column]
+    n_rare = int(np.searchsorted(held * RARE, len(n), "right"))
+    pairs = np.cumsum(held[:n_rare] ** 2)
+    full = np.flatnonzero(np.diff(pairs // ENTRIES, prepend=0))
+    edges = np.unique([0, *full.tolist(), *range(n_rare, len(held), COLUMNS), len(held)])
     rest = np.bincount(row, minlength=len(n))
     overlap = np.zeros((len(left), len(right)), np.float32)
     bound = need(n[left][:, None], n[right][None, :], percent)
-    for lo in range(0, int(useful.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-        part = np.zeros((len(n), min(COLUMNS, int(useful.sum()) - lo)), np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        overlap += part[left] @ part[right].T
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        a, b = np.searchsorted(column, [lo, hi])
+        overlap += (listed if lo < n_rare else sliced)(row[a:b], column[a:b], left, right, len(n))
         rest -= np.bincount(row[a:b], minlength=len(n))
         able = overlap + np.minimum(rest[left][:, None], rest[right][None, :]) >= bound
         if not two:
@@ -303,6 +338,8 @@ def product(row: np.ndarray, column: np.ndarray, n: np.ndarray, side: np.ndarray
         else:
             on = off = able.any(axis=1)
         left, right, overlap, bound = left[on], right[off], overlap[np.ix_(on, off)], bound[np.ix_(on, off)]
+        if not overlap.size:
+            break
     i, j = np.nonzero(overlap >= bound)
     i, j = left[i], right[j]
     return (i, j) if two else (i[i < j], j[i < j])

@@ -64,6 +64,36 @@ def families(rng: random.Random) -> list[tuple]:
     return found
 
 
+def incidence(rows: list[set]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([len(r) for r in rows])
+    return np.repeat(np.arange(len(rows)), n), np.array([c for r in rows for c in sorted(r)]), n
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("common", [0, 150])
+def test_rare_columns_are_multiplied_as_lists(monkeypatch, two, common):
+    rng, dense = random.Random(common), []
+    sliced = jaccard_join.sliced
+    monkeypatch.setattr(jaccard_join, "sliced", lambda row, *rest: dense.append(len(row)) or sliced(row, *rest))
+    monkeypatch.setattr(jaccard_join, "ENTRIES", 500)  # several slices of lists
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    rows = []
+    for r in range(120):  # threes that share 100 columns, of which some are lost, and columns that most rows hold
+        own = {c for c in range(10_000 + r // 3 * 100, 10_000 + r // 3 * 100 + 100) if rng.random() > 0.05}
+        rows.append(own | {c for c in range(common) if rng.random() > 0.03})
+    side = np.array([rng.randrange(2) for _ in rows])
+    row, column, n = incidence(rows)
+    got = set(zip(*map(np.ndarray.tolist, jaccard_join.product(row, column, n, side, two, 85))))
+    want = set()
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            able = side[i] < side[j] if two else i < j
+            if able and 100 * len(rows[i] & rows[j]) >= 85 * len(rows[i] | rows[j]):
+                want.add((i, j))
+    assert got == want and len(want) > 10
+    assert bool(dense) == bool(common)
+
+
 @pytest.mark.parametrize("tile", [6, jaccard_join.TILE])
 def test_join_links_what_brute_force_links(spark, tile):
     docs = families(random.Random(3))
