@@ -365,3 +365,9 @@ def test_packs_of_vectors_of_words_are_small(spark):
     vectors = embed(spark.createDataFrame([(i, f"public office {i}") for i in range(300)], "qid int, question string"), "question")
     pack = packs.packed(vectors.select("qid", F.col("embedding").alias("_q")).coalesce(1), "_q").first()
     assert pack["_rows"] == 300 and pack["_bytes"] == len(pack["_pack"]) < 300 * 4 * 384 / 10
+
+
+def test_packs_of_a_share_are_spread_over_the_tasks_that_made_them(spark):
+    ids = spark.range(8 * 32).selectExpr("shiftleft(CAST(id DIV 32 AS BIGINT), 32) + id % 32 AS _id")
+    per_task = ids.where(search.in_share(16)).groupBy(F.shiftright("_id", 32)).count().collect()
+    assert sorted(r["count"] for r in per_task) == [2] * 8
