@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablecite.operators import packs, search, tfidf
+from tablecite.operators import packs, search, tfidf, topk
 from tablecite.operators.embed import embed, hashed_embedder
 from tablecite.operators.topk import DenseL2
 from tests.plans import plan_of
@@ -371,3 +371,36 @@ def test_packs_of_a_share_are_spread_over_the_tasks_that_made_them(spark):
     ids = spark.range(8 * 32).selectExpr("shiftleft(CAST(id DIV 32 AS BIGINT), 32) + id % 32 AS _id")
     per_task = ids.where(search.in_share(16)).groupBy(F.shiftright("_id", 32)).count().collect()
     assert sorted(r["count"] for r in per_task) == [2] * 8
+
+
+def sparse_rows(rng, n, n_features, most):
+    rows = [np.sort(rng.choice(n_features, rng.integers(0, most), replace=False)) for _ in range(n)]
+    values = [rng.random(len(r)) + 0.01 for r in rows]
+    kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    dense = np.zeros((n, n_features))
+    for i, (at, value) in enumerate(zip(rows, values)):
+        dense[i, at] = value / np.linalg.norm(value) if len(at) else value
+    return pa.array([{"indices": at.tolist(), "values": value.tolist()} for at, value in zip(rows, values)], kind), dense
+
+
+@pytest.mark.parametrize("near_cells", [1 << 18, 700])
+def test_sparse_scores_by_lists_are_those_of_a_product_and_rows_are_loaded_once(monkeypatch, near_cells):
+    monkeypatch.setattr(topk, "NEAR_CELLS", near_cells)
+    rng, before = np.random.default_rng(11), None
+    held, x = sparse_rows(rng, 90, 400, 60)
+    keys = pa.table({"key": np.arange(90)})
+    for n_questions, most in ((70, 4), (200, 40), (3, 300), (130, 25)):  # lists of many lengths, and some common features
+        column, q = sparse_rows(rng, n_questions, 400, most)
+        contenders = topk.Contenders(topk.SparseCosine(column, 400), 5)
+        found = {}
+        for a, b, cost in contenders.pick(keys, held, before):
+            found |= dict(zip(zip(a.tolist(), b.tolist()), cost.tolist()))
+        score = np.round(q @ x.T, 9)
+        for i in range(n_questions):
+            best = [(-score[i, j], j) for j in range(90) if score[i, j] > 0]
+            mine = [(cost, j) for (a, j), cost in found.items() if a == i]
+            assert [j for _, j in sorted(mine)[:5]] == [j for _, j in sorted(best)[:5]]
+            assert np.allclose([c for c, _ in sorted(mine)[:5]], [c for c, _ in sorted(best)[:5]], rtol=0, atol=2e-9)
+        if before is not None:
+            assert contenders.metric.weight is before.metric.weight and contenders.place is before.place
+        before = contenders
