@@ -59,6 +59,28 @@ def test_no_join_makes_a_row_per_question_and_posting(spark, tmp_path):
     assert "MapInArrow" in plan and "feature" not in plan
 
 
+def test_thresholds_come_from_the_greatest_postings_and_repeated_keys_keep_all_features(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "HEAD", 7)
+    monkeypatch.setattr(postings, "POSTINGS", 50)  # heads are taken several times in a task
+    docs, asked = corpus_texts(spark)
+    docs = docs.unionByName(docs.where("key < 3").withColumn("key", F.col("key") + 1).withColumn("chunk", F.upper("chunk")))
+    fitted = tfidf.fit_tfidf(docs, n_features=64)
+    index = postings.build_postings(fitted, docs, str(tmp_path / "p"), "key")
+    units = {}
+    for r in index.postings.collect():
+        units.setdefault(r["feature"], []).append(r["unit"])
+    heads = {}
+    for r in index.heads.collect():
+        heads.setdefault(r["feature"], []).append(r["unit"])
+    assert max(map(len, units.values())) > 50
+    assert {f: sorted(x) for f, x in heads.items()} == {f: sorted(sorted(x)[-7:]) for f, x in units.items()}
+    held = {r["key"]: r["_v"] for r in postings._by_chunk(index.vectors, ["key"]).collect()}
+    rows = index.vectors.where("key IS NOT NULL").collect()
+    for key in {r["key"] for r in rows}:
+        assert sorted(held[key]) == sorted(p for r in rows if r["key"] == key for p in r["weights"])
+    assert len(held) == len({r["key"] for r in rows}) < len(rows)
+
+
 # ---- sentences ---------------------------------------------------------------
 
 
